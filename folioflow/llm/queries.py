@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, encode, mixing, normalize, pieces
+from . import containers, encode, mixing, normalize, pieces, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,22 @@ def p6_normalized(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(normalize.normalize_values(table(spark, d, "chapters"), "chapter", "chapter_row_id", ["title"]))
 
 
+def _p7(spark, d):
+    return table(spark, d, "paragraphs"), table(spark, d, "chapters"), table(spark, d, "projects")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(*_p7(spark, d))
+
+
+def p7_pages(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_books(*_p7(spark, d))[0]
+
+
+def p7_titles(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_books(*_p7(spark, d))[1]
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -63,7 +79,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_pieces, p5_chunks, p5_report, p6_found, p6_normalized, p8_ids, p8_decoded, p9_mix, p9_report]
+    found = [p1_found, p1_pieces, p5_chunks, p5_report, p6_found, p6_normalized, p7_found, p7_pages, p7_titles, p8_ids, p8_decoded, p9_mix, p9_report]
     return {f.__name__: f for f in found}
 
 
