@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, encode, mixing, normalize, pieces, scans
+from . import containers, encode, mixing, normalize, pieces, scans, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,8 +78,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _p10(spark, d):
+    return table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.found(*_p10(spark, d))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(*_p10(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_pieces, p5_chunks, p5_report, p6_found, p6_normalized, p7_found, p7_pages, p7_titles, p8_ids, p8_decoded, p9_mix, p9_report]
+    found = [p1_found, p1_pieces, p5_chunks, p5_report, p6_found, p6_normalized, p7_found, p7_pages, p7_titles, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_composition]
     return {f.__name__: f for f in found}
 
 
