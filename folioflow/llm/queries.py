@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, encode, mixing, normalize, pieces, scans, subjects
+from . import align, bitext, broken, containers, defects, encode, mixing, normalize, pieces, scans, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,27 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_by_limits(*_p1(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken.found(table(spark, d, "paragraphs"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return broken.report(table(spark, d, "paragraphs"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    paragraphs = table(spark, d, "paragraphs")
+    return align.found(paragraphs, bitext.learn(paragraphs))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.found(table(spark, d, "paragraphs"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return defects.report(table(spark, d, "paragraphs"))
+
+
 def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
     return containers.chunk_chapters(table(spark, d, "paragraphs"), table(spark, d, "size_limits"))
 
@@ -91,7 +112,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_pieces, p5_chunks, p5_report, p6_found, p6_normalized, p7_found, p7_pages, p7_titles, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_composition]
+    found = [p1_found, p1_pieces, p2_found, p2_report, p3_found, p4_found, p4_report, p5_chunks, p5_report, p6_found, p6_normalized, p7_found, p7_pages, p7_titles, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_composition]
     return {f.__name__: f for f in found}
 
 

@@ -196,7 +196,8 @@ def _profiles(encoded: DataFrame, weights: np.ndarray, prior: np.ndarray, k: int
             flat, starts, doc = _flat(b)
             mass = np.zeros((b.num_rows, k))
             if len(starts):
-                np.add.at(mass, doc, _posteriors(flat, starts, w, pr, None))
+                p = _posteriors(flat, starts, w, pr, None)
+                np.add.at(mass, doc, np.where(p > 0.5, p, 0.0))
             n = np.bincount(doc, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(n.astype("int32")), pa.array(list(mass[:, 1:]), pa.list_(pa.float64()))], ["doc_id", "label", "n", "mass"])
 
