@@ -1,5 +1,7 @@
 """All queries of the core."""
 
+from . import books
+
 
 def register_all() -> None:
-    pass
+    books.register_all()
