@@ -1,7 +1,8 @@
 """All queries of the core."""
 
-from . import books
+from . import books, layouts
 
 
 def register_all() -> None:
     books.register_all()
+    layouts.register_all()
