@@ -121,14 +121,22 @@ def missing_share(source: str, rest: str, lexicon: Lexicon) -> float:
     has, two = set(tokens), set(pairs([t.lower() for t in tokens]))
     spans, shared = sentences(source), set(WORD.findall(source))
     best, least = 0.0, 1.0
+    m = match(source, rest, lexicon)
+    by: dict[int, float] = {}
+    for i, _, w in m.points:
+        by[i] = max(w, by.get(i, 0.0))
+    scores = [0.0] * len(spans)
+    k = 0
+    for i in sorted(by):
+        while k + 1 < len(spans) and m.src[i].start() >= spans[k + 1][0]:
+            k += 1
+        scores[k] += by[i]
     for k, (a, b) in enumerate(spans):
-        sentence = source[a:b]
-        by: dict[int, float] = {}
-        for i, _, w in match(sentence, rest, lexicon).points:
-            by[i] = max(w, by.get(i, 0.0))
-        score = sum(by.values())
+        score, sentence = scores[k], source[a:b]
         if score <= 0:
             continue
+        if score < best - 1e-6 and k < len(spans) - 1:
+            continue
         total, got = expected(sentence, has, two, lexicon, shared)
         share = 1 - got / total if total else 0.0
         if score > best + 1e-6:
