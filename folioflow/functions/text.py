@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Unicode white space, spelled for Java and RE2 alike.
 BLANK = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -36,7 +37,7 @@ def effective(translated: Column, original: Column) -> Column:
     return F.when(F.coalesce(F.length(t), F.lit(0)) > 0, t).otherwise(original)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

@@ -52,7 +52,7 @@ def progress(spark, d):
 
 
 def _explode(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85  ]", -1)).alias("pos", "line"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]", -1)).alias("pos", "line"))
     rows = lines.withColumn("line", T.strip(F.col("line"))).filter(F.length("line") >= 2)
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")).withColumn("pos", F.col("pos").cast("long"))
 

@@ -1,8 +1,9 @@
 """All queries of the core."""
 
-from . import books, layouts
+from . import books, layouts, runs
 
 
 def register_all() -> None:
     books.register_all()
     layouts.register_all()
+    runs.register_all()
