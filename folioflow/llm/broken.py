@@ -63,21 +63,35 @@ def _kind(mark: str) -> str:
 def slots(text: str, shared: set[str]) -> list[str]:
     """Words in lower case; names and numbers that stand in the original too become slots."""
     out: list[str] = []
+    last = ""
     for w in WORD.findall(text):
-        if w in shared and (w[0].isupper() or w[0].isdigit()):
+        if w[0].islower():
+            last = w.lower()
+            out.append(last)
+        elif w in shared:
             slot = "#" if w[0].isdigit() else "@"
-            if not out or out[-1] != slot:
+            if slot != last:
                 out.append(slot)
+            last = slot
         else:
-            out.append(w.lower())
+            last = w.lower()
+            out.append(last)
     return out
 
 
+_BEGINS = CONNECTORS | {"#", "@"}
+
+
 def phrases(tokens: list[str]) -> list[tuple[str, bool]]:
     """(phrase, whether it ends the sentence); a phrase that goes on has an arrow at its end."""
-    starts = [i for i, t in enumerate(tokens) if i == 0 or t in CONNECTORS or t in "#@"]
-    ends = [*starts[1:], len(tokens)]
-    return [(" ".join(tokens[a:b]) + ("" if b == len(tokens) else " >"), b == len(tokens)) for a, b in zip(starts, ends)]
+    out, start = [], 0
+    for i, t in enumerate(tokens):
+        if i and t in _BEGINS:
+            out.append((" ".join(tokens[start:i]) + " >", False))
+            start = i
+    if tokens:
+        out.append((" ".join(tokens[start:]), True))
+    return out
 
 
 def _rendered(entry: dict[str, float], two: set[str]) -> bool:
