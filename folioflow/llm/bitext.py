@@ -137,7 +137,7 @@ def trim_lexicon(lexicon: Lexicon) -> Lexicon:
     return lexicon
 
 
-NAME, NUMBER = 3.0, 3.0
+NAME, NUMBER, LEAST_POINT = 3.0, 3.0, 0.3
 
 
 @dataclass
@@ -178,11 +178,12 @@ def match(source: str, target: str, lexicon: Lexicon) -> Match:
             points += [(i, j, NAME) for j in shared]
             continue
         if entry:
-            weight = min(lexicon.weight(lw), 4.0)
+            idf = lexicon.weight(lw)
+            weight = min(max(idf, 1.5), 4.0) if idf >= 0.8 else idf
             weights.append(weight)
             top = max(entry.values())
             for t, d in entry.items():
-                if d < 0.4 * top:
+                if d < 0.4 * top or weight * d < LEAST_POINT * top:
                     continue
                 points += [(i, j, weight * d / top) for j in pair_at.get(t, ())]
         else:

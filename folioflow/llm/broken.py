@@ -32,7 +32,7 @@ from .bitext import WORD, Lexicon, learn, match, pairs, plain, sentences
 CONNECTORS = frozenset("và về của với ở từ đến cho vào gần sau là rằng hơn cùng mà có đã được như thì nhưng vì để khi trước bất còn rồi hay hoặc tại trong bằng lại".split())
 SHORT = 12
 MISSING = 0.08
-LEAST_IDF = 2.5
+LEAST_OWN = 0.4
 _CLOSERS = re.compile(r"(?:[\s\"'”’»)\]}…�]|\.{2,})+$")
 _MARKED = re.compile(r"[.!?。！？]$")
 _SENTENCE_MARK = re.compile(r"[^\d\s][.!?…](?=\s|$)|\d[.!?…](?=\s*$)")  # not the number of a title
@@ -79,6 +79,7 @@ def slots(text: str, shared: set[str]) -> list[str]:
     return out
 
 
+_NO_ENTRY = {"": 0.0}
 _BEGINS = CONNECTORS | {"#", "@"}
 
 
@@ -117,8 +118,8 @@ def expected(source: str, tokens: set[str], two: set[str], lexicon: Lexicon, sha
             continue
         items = [low[i], *around[max(i - 1, 0) : i + 1]]
         entries = [e for x in items if (e := lexicon.entries.get(x))]
-        if lexicon.weight(low[i]) < LEAST_IDF and low[i] in lexicon.idf:
-            continue
+        if low[i] in lexicon.idf and max(lexicon.entries.get(low[i], _NO_ENTRY).values()) < LEAST_OWN:
+            continue  # a word of the language's own grammar
         if any(max(e.values()) >= 0.85 for e in entries):
             total, got = total + 1, got + any(_rendered(e, two) for e in entries)
         elif w[0].isupper() and w.isalpha() and len(w) > 2 and low[i] not in lexicon.idf:
