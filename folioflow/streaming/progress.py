@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """job_events as they are appended to a folder; the schema is the folder's."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(path)
+    folder, name = os.path.split(path.rstrip("/"))
+    single = os.path.isfile(path)  # a stream reads folders: one file is picked from its own
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return stream.option("pathGlobFilter", name).parquet(folder) if single else stream.option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def deduplicated(events: DataFrame, lateness: str = "10 days") -> DataFrame:
