@@ -289,6 +289,11 @@ def _sentence_case(line: str) -> bool:
     return len(tokens) > 1 and all(w[0].islower() for w in tokens[1:]) and any(len(w) > 3 for w in tokens[1:])
 
 
+def _may_be_header(line: str) -> bool:
+    """A line that may be a running header where it repeats: no end of a sentence, no continued text."""
+    return bool(line) and len(line) < 90 and not line[0].islower() and not re.search(r"[.,;:!?]$", line) and not _sentence_case(line)
+
+
 def page_parts(text: str, keys: set[str], offset: int | None, index: int | None) -> tuple[list[str], list[str], bool]:
     """(header lines, body lines, whether there is a page number)."""
     lines = text.strip("\n\r").splitlines()
@@ -467,7 +472,7 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
                 tails.append(m.group(1) if m else "")
                 first = next((x for x in (t or "").strip().splitlines() if not (_STRONG.match(x) or _BARE.match(x))), "")
                 core = _AFTER.sub("", _BEFORE.sub("", first.strip()))
-                tops.append(fold(core) if core and len(core) < 90 and not _sentence_case(core) else "")
+                tops.append(fold(core) if _may_be_header(core) else "")
                 numbers.append(edge_numbers(t))
             yield pd.DataFrame({"project_id": pdf["project_id"], "chapter_id": pdf["chapter_id"], "para_index": pdf["para_index"], "top": tops, "numbers": numbers, "tail": tails})
 

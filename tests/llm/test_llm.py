@@ -234,6 +234,17 @@ def test_pages_lose_headers_and_numbers_but_not_tables():
     assert scans.repair_title("The Cour- t\t31", scans.Words({"the": 9, "court": 9}))[1] == ["hyphen", "page_number"]
 
 
+def test_headers_without_a_title_repeat_at_the_top(spark):
+    body = "they walked to school.\neveryone came"
+    pages = [{"original_text": f"The Empty Page   {20 + i}\n{body}"} for i in range(4)] + [{"original_text": f"everyone.\n{body}"} for _ in range(4)] + [{"original_text": None}, {"original_text": "the walk- "}]
+    pages = [r | {"para_index": i + 1} for i, r in enumerate(pages)]
+    books = spark.createDataFrame([("p", "Other", "pdf", "textbook"), ("p", "Other", "pdf", "textbook")], "project_id string, title string, source_format string, document_type string")
+    chapters = spark.createDataFrame([(1, "p", "c", None), (2, "p", "c", None)], "chapter_row_id long, project_id string, chapter_id string, title string")
+    got = {r.row_id: set(r.kinds) for r in scans.repair_books(paras(spark, pages), chapters, books)[0].collect()}
+    assert all(got[i] == {"header", "page_number"} for i in range(4)) and all(got[i] == set() for i in range(4, 9))
+    assert scans.found(paras(spark, pages).limit(0), chapters.limit(0), books.limit(0)).count() == 0
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
