@@ -14,30 +14,103 @@ from ..functions.text import effective, strip, word_count
 CHAPTER = ["project_id", "chapter_id"]
 
 
-def greedy_chunks(rows: DataFrame, target_words: int = 1000, max_rows: int = 12) -> DataFrame:
-    """project_id, chapter_id, para_id, n_words, chunk_no of the rows in reading order.
+def _walk(sizes: list[int], words: int, n: int, target: int, most: int, known: dict[int, tuple[int, int]] | None = None) -> tuple[list[int], int]:
+    """(places where chunks start, rows of the open chunk at the end) from a state of words and rows.
+
+    known maps a place where the walk from the empty state starts a chunk to (its rank, 0): from
+    there on both walks are one, so this one stops.
+    """
+    starts = []
+    for i, x in enumerate(sizes):
+        if n == 0 or words + x > target or n >= most:
+            if known is not None and i in known:
+                return starts, -1 - i
+            starts.append(i)
+            words, n = 0, 0
+        words, n = words + x, n + 1
+    return starts, n
+
+
+def _block_maps(sizes: list[int], halo: list[int], target: int, most: int) -> tuple[list[int], list[int]]:
+    """For each number of rows that the open chunk may bring in: rows it takes out, chunks started."""
+    base, end = _walk(sizes, 0, 0, target, most)
+    rank = {p: (k, 0) for k, p in enumerate(base)}
+    outs, counts = [end % most], [len(base)]
+    for n in range(1, len(halo) + 1):
+        starts, at = _walk(sizes, sum(halo[-n:]), n, target, most, rank)
+        if at < 0:
+            outs.append(outs[0])
+            counts.append(len(starts) + len(base) - rank[-1 - at][0])
+        else:
+            outs.append(at % most)
+            counts.append(len(starts))
+    return outs, counts
+
+
+def greedy_chunks(rows: DataFrame, target_words: int = 1000, max_rows: int = 12, block: int = 4096) -> DataFrame:
+    """project_id, chapter_id, para_id, para_index, n_words, chunk_no of the rows in reading order.
 
     A chunk closes before a row that would exceed the words or the rows; a row above the words
-    is a chunk by itself. The rows of a chapter stream through one task in order: its state is three
-    numbers, however long the chapter is.
+    is a chunk by itself.
+
+    The state at a row depends on all rows before, but a block of rows sees of it only how many
+    rows the open chunk brings in, fewer than ``max_rows``. So each block of a chapter is walked
+    by itself from each such state (walks soon meet and then are one), the blocks' small maps are
+    chained per chapter, and each block numbers its rows from its true state. No task holds more
+    than a block of rows, however long a chapter is.
     """
     base = rows.select(*CHAPTER, "para_index", "para_id", word_count(F.col("original_text")).alias("n_words"))
-    ordered = base.repartition(*CHAPTER).sortWithinPartitions(*CHAPTER, "para_index", "para_id")
+    base = base.withColumn("_b", F.floor(F.coalesce("para_index", F.lit(0)) / block))
+    items = base.groupBy(*CHAPTER, "_b").agg(F.sort_array(F.collect_list(F.struct("para_index", "para_id", "n_words"))).alias("_items"))
+    sizes = items.select(*CHAPTER, "_b", F.col("_items.n_words").alias("_sizes"))
+
+    w = Window.partitionBy(*CHAPTER).orderBy("_b")
+    keep = max(max_rows - 1, 1)
+    tail = sizes.withColumn("_tail", F.expr(f"slice(_sizes, greatest(size(_sizes) - {keep} + 1, 1), {keep})"))
+    before = F.flatten(F.collect_list("_tail").over(w.rowsBetween(-keep, -1)))
+    tail = tail.withColumn("_halo", before).withColumn("_many", F.lead("_b").over(w).isNotNull() | F.lag("_b").over(w).isNotNull()).filter("_many")
+    tail = tail.withColumn("_halo", F.expr(f"slice(_halo, greatest(size(_halo) - {keep} + 1, 1), {keep})")) if max_rows > 1 else tail.withColumn("_halo", F.array().cast("array<long>"))
+
+    def maps(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            done = [_block_maps([int(x) for x in s], [int(x) for x in h], target_words, max_rows) for s, h in zip(pdf["_sizes"], pdf["_halo"])]
+            yield pdf[[*CHAPTER, "_b"]].assign(_outs=[d[0] for d in done], _starts=[d[1] for d in done])
+
+    table = tail.select(*CHAPTER, "_b", "_sizes", "_halo").mapInPandas(maps, "project_id string, chapter_id string, _b long, _outs array<int>, _starts array<int>")
+    chained = table.groupBy(*CHAPTER).agg(F.sort_array(F.collect_list(F.struct("_b", "_outs", "_starts"))).alias("_t"))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, words, n, chunk = object(), 0, 0, 0
+    def chain(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
-            for p, c, w in zip(pdf["project_id"], pdf["chapter_id"], pdf["n_words"]):
-                if (p, c) != key:
-                    key, words, n, chunk = (p, c), 0, 0, 0
-                elif n and (words + w > target_words or n >= max_rows):
-                    words, n, chunk = 0, 0, chunk + 1
-                words, n = words + w, n + 1
-                out.append(chunk)
-            yield pdf[["project_id", "chapter_id", "para_id", "para_index", "n_words"]].assign(chunk_no=out)
-
-    return ordered.mapInPandas(run, "project_id string, chapter_id string, para_id string, para_index int, n_words long, chunk_no long")
+            for p, c, blocks in zip(pdf["project_id"], pdf["chapter_id"], pdf["_t"]):
+                n = made = 0
+                for x in blocks:
+                    out.append((p, c, x["_b"], n, made))
+                    made += int(x["_starts"][n])
+                    n = int(x["_outs"][n])
+            yield pd.DataFrame(out, columns=[*CHAPTER, "_b", "_n", "_made"])
+
+    entry = chained.mapInPandas(chain, "project_id string, chapter_id string, _b long, _n int, _made long")
+    halos = tail.select(*CHAPTER, "_b", "_halo")
+    entry = entry.join(halos, [*CHAPTER, "_b"])
+    state = items.join(entry, [*CHAPTER, "_b"], "left").select(*CHAPTER, "_items", F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_made", F.lit(0).cast("long")).alias("_made"), F.coalesce("_halo", F.array().cast("array<long>")).alias("_halo"))
+
+    def number(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            numbers = []
+            for rows_, n, made, halo in zip(pdf["_items"], pdf["_n"], pdf["_made"], pdf["_halo"]):
+                words = [int(x["n_words"]) for x in rows_]
+                starts, _ = _walk(words, sum(int(x) for x in halo[len(halo) - n :]) if n else 0, n, target_words, max_rows)
+                begins, k, own = set(starts), int(made) - 1, []
+                for i in range(len(words)):
+                    k += i in begins
+                    own.append(k)
+                numbers.append(own)
+            yield pdf[[*CHAPTER, "_items"]].assign(_numbers=numbers)
+
+    item = "array<struct<para_index:int,para_id:string,n_words:bigint>>"
+    flat = state.mapInPandas(number, f"project_id string, chapter_id string, _items {item}, _numbers array<long>").select(*CHAPTER, F.explode(F.arrays_zip("_items", "_numbers")).alias("_z"))
+    return flat.select(*CHAPTER, F.col("_z._items.para_id").alias("para_id"), F.col("_z._items.para_index").alias("para_index"), F.col("_z._items.n_words").alias("n_words"), F.col("_z._numbers").alias("chunk_no"))
 
 
 def contexts(paragraphs: DataFrame, size: int = 3) -> DataFrame:

@@ -50,12 +50,12 @@ def test_progress_rounds_half_to_even_and_handles_nulls(spark):
     assert B.chapter_progress(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("target,most", [(10, 3), (1000, 12), (1, 1)])
-def test_packing_equals_a_plain_loop(spark, target, most):
+@pytest.mark.parametrize("target,most,block", [(10, 3, 4096), (10, 3, 5), (1000, 12, 4096), (1000, 12, 7), (60, 12, 2), (1, 1, 4)])
+def test_packing_equals_a_plain_loop(spark, target, most, block):
     rnd = random.Random(7)
     sizes = [rnd.choice([0, 1, 2, 3, 9, 10, 11, 40]) for _ in range(200)]
     df = para(spark, [{"original_text": " ".join(["w"] * n) if n else None, "chapter_id": f"chap_{i % 3}"} for i, n in enumerate(sizes)])
-    got = {r.para_id: r.chunk_no for r in C.greedy_chunks(df, target, most).collect()}
+    got = {r.para_id: r.chunk_no for r in C.greedy_chunks(df, target, most, block).collect()}
     for c in range(3):
         words = n = chunk = 0
         for i in range(c, 200, 3):
