@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import BLANK
+from ..functions.text import BLANK
 
 
 def words(col: Column) -> Column:

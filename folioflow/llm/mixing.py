@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import TRIM
 from ..session import checkpointed
 from .encode import DEFAULT_RANKS, token_counts
-from .pieces import TRIM
 
 
 def source_key(col):

@@ -25,9 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Unicode white space, spelled for Java and RE2 alike.
-BLANK = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-TRIM = f"^{BLANK}+|{BLANK}+$"
+from ..functions.text import TRIM
 
 RANGE = 1 << 16
 HALO = 64

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import TRIM
 from ..session import table
 from . import align, bitext, broken, containers, defects, encode, mixing, normalize, pieces, scans, subjects
 
@@ -116,7 +117,6 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
-_BLANK = pieces.BLANK
 
 SQL = {
     "p1_found": f"""
@@ -126,7 +126,7 @@ WITH items AS (
   SELECT 'context', chunk_row_id, (n - 1)::INTEGER, context_before[n]
   FROM (SELECT chunk_row_id, context_before, unnest(range(1, len(context_before) + 1)) AS n FROM chunks))
 SELECT item_kind, row_id, entry_no::INTEGER AS entry_no FROM items JOIN size_limits USING (item_kind)
-WHERE length(regexp_replace(t, '^{_BLANK}+|{_BLANK}+$', '', 'g')) > max_size""",
+WHERE length(regexp_replace(t, '{TRIM}', '', 'g')) > max_size""",
     "p6_found": f"""
 WITH v AS (
   SELECT 'paragraph' AS record_kind, row_id AS record_id, 'original_text' AS field_name, original_text AS t FROM paragraphs
