@@ -1 +1 @@
-"""See the package docstring."""
+"""DataFrame operators: each takes and returns DataFrames and is lazy."""

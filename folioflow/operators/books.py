@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import effective, is_caption, is_table_caption, output_tag, squeeze, strip, word_count
+from ..functions.text import effective, html_escape, is_caption, is_footnote, is_table_caption, output_tag, squeeze, strip, word_count
 
 PARA_KEY = ["project_id", "chapter_id", "para_id"]
 COMPLETE = ("done", "edited")
@@ -164,8 +164,6 @@ def text_export(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame,
 
 def html_fragment(paragraphs: DataFrame) -> DataFrame:
     """The HTML of each row: caption, footnote, heading or plain element."""
-    from ..functions.text import html_escape, is_footnote
-
     shown = html_escape(effective(F.col("translated_text"), F.coalesce("original_text", F.lit(""))))
     tag = output_tag(F.coalesce("tag", F.lit("p")))
     caption = is_caption(F.col("tag"), F.col("original_text"), F.col("translated_text"))

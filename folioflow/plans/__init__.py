@@ -1 +1 @@
-"""See the package docstring."""
+"""Registered queries with their SQL."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Rows to files."""

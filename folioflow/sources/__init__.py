@@ -1 +1 @@
-"""See the package docstring."""
+"""Files to rows."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Runs of a model."""
