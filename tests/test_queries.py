@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from folioflow.plans import registry
-from tools.compare import canon
+from tools.compare import arrow_of, canon
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -23,8 +23,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
-    mine = registry.queries()[name](spark, SF).toPandas()
-    other = con.sql(registry.oracle_sql()[name]).df()
+    mine = registry.queries()[name](spark, SF).toArrow().to_pandas()
+    other = arrow_of(con.sql(registry.oracle_sql()[name])).to_pandas()
     assert sorted(mine.columns) == sorted(other.columns)
     assert canon(mine) == canon(other)
 
