@@ -82,6 +82,7 @@ def math_docx(c: Column) -> Column:
     return F.regexp_replace(c, "\\$([^\\$]+)\\$", "$1")
 
 
+#: Patterns of captions; fixed values.
 CAPTION = r"^(?:Figure|Fig\.?|Hình|Table|Bảng)[ \t]*[\d.\-]+[:.\-–]"
 CAPTION_LABEL = r"^((?:Figure|Fig\.?|Hình|Table|Bảng)[ \t]*[\d.\-]+[:.\-–])[ \t]*(.*)$"
 
@@ -112,6 +113,7 @@ SECTION_NAMES = (
     "supplementary material", "supplementary materials", "data availability", "competing interests", "author contributions", "funding", "ethics statement", "declarations",
 )
 
+#: Patterns of headings; fixed values.
 _TAIL = r"[A-Z][\p{L}\p{N}_\s\-/,()&:]{1,90}"
 SUBSECTION = rf"^((?:\d+\.)+\d+)\.?\s+({_TAIL})$"
 NUMBERED = rf"^(\d{{1,3}})\.?\s+({_TAIL})$"
@@ -161,6 +163,7 @@ def heading_level(c: Column) -> Column:
     )
 
 
+#: Marks of a scene break; fixed values.
 SCENE_MARKERS = ("* * *", "***", "• • •", "---", "—", "⁂", "* * * *", "~ ~ ~", "~~~", "- - -", "•   •   •", "♦", "§", "# # #")
 ORNAMENTS = "^[·*•—–\\-~#§♦⁂ \\t]+$"
 
@@ -184,6 +187,7 @@ def safe_file_name(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, r"[^\p{L}\p{N} _\-]", ""))
 
 
+#: Patterns of chapter lines of plain text and of word-processor paragraphs; fixed values.
 TXT_CHAPTER = r"^(?:(?:chapter|chương|part|phần|hồi)\s+(?:[0-9ivxlcdm]+|[a-z]+)(?:[\s:.–—-].*)?|(?:prologue|epilogue|interlude|lời mở đầu|lời kết)(?:[\s:.–—-].*)?)$"
 DOCX_CHAPTER = r"^(?:(?:chapter|chương|part|phần|hồi)\s+(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)(?:\s*[:.–—-]\s*.+)?|prologue|epilogue|interlude|lời mở đầu|lời kết)$"
 

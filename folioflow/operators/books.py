@@ -194,6 +194,24 @@ def output_titles(projects: DataFrame, bilingual: bool = False) -> DataFrame:
     return projects.select("project_id", title.alias("output_title"))
 
 
+#: Phrases of licences and permissions; fixed values.
+BOILERPLATE = (
+    "proper attribution is provided", "permission to make digital or hard copies", "reproduce the tables and figures in this paper solely for use in journalistic",
+    "this work is licensed under a creative commons", "copyright held by the owner/author",
+)
+
+
+def without_boilerplate(paragraphs: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Rows without those of a first chapter that hold a licence phrase, and without blank ones."""
+    first = chapters.filter("chapter_order = 0").select("project_id", "chapter_id", F.lit(True).alias("_first"))
+    text = F.coalesce(F.lower("original_text"), F.lit(""))
+    phrase = F.lit(False)
+    for p in BOILERPLATE:
+        phrase |= text.contains(p)
+    rows = paragraphs.join(first, ["project_id", "chapter_id"], "left")
+    return rows.filter(~(F.coalesce("_first", F.lit(False)) & phrase) & (F.length(strip(text)) > 0)).drop("_first")
+
+
 #: Verbs of speech and words that are no names; fixed values.
 SPEECH_VERBS = "said|asked|replied|whispered|shouted|muttered|cried|sighed|nodded|gasped|yelled|grunted|called|answered"
 NO_NAMES = ("He", "She", "It", "They", "The", "One", "Someone", "Nobody", "Who", "What", "Then", "There")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import is_chapter_line
 
+#: Patterns of the lines of Vietnamese textbooks; fixed values.
 CHAPTER_LINE = r"(?iu)^(?:#\s+)?(Chương\s+[0-9IVXLCDMivxlcdm]+[:.\-–\s]*.*|Lời\s+(?:Nhà\s+xuất\s+bản|nói\s+đầu|mở\s+đầu)|Tài\s+liệu\s+tham\s+khảo|Kết\s+luận)$"
 MAJOR, ROMAN, SUB = r"(?iu)^(?:##\s+)?([A-C]\.\s+.*)$", r"(?iu)^(?:###\s+)?([IVXLCDM]+[.\-–\s]+.*)$", r"^(?:####\s+)?(\d+\.\s+.*)$"
 ALONE = r"(?iu)^(?:#\s*)?(Chương\s+[0-9IVXLCDMivxlcdm]+)\s*$"

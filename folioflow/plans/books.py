@@ -277,6 +277,9 @@ def _elements(spark, d):
     return p.filter("source_element_index >= 0 and source_doc is not null").select("project_id", "source_doc", F.col("source_element_index").alias("pos"), F.col("original_text").alias("text"))
 
 
+LICENCE = " OR ".join(f"contains(lower(original_text), '{p}')" for p in B.BOILERPLATE)
+
+
 def register_all() -> None:
     register("paragraph_explode", _explode, EXPLODE)
     register("paragraph_latest", lambda s, d: paras(s, d).select("row_id", *B.PARA_KEY, "status"), f"WITH {LATEST} SELECT row_id, project_id, chapter_id, para_id, status FROM lp")
@@ -357,4 +360,7 @@ def register_all() -> None:
     register("text_sections_strict", _text_sections(True), _sections_sql(True))
     register("markdown_sections", _markdown, MARKDOWN)
     register("page_text_paragraphs", _page_paragraphs, PAGE)
-    register("boilerplate_filter", lambda s, d: table(s, d, "documents").filter(~F.coalesce(F.lower("text").rlike("second printing|zweiter druck|segunda impresión|deuxième tirage"), F.lit(False)) & (F.length(T.strip(F.col("text"))) > 0)).select("doc_id"), f"SELECT doc_id FROM documents WHERE NOT coalesce(regexp_matches(lower(text), 'second printing|zweiter druck|segunda impresión|deuxième tirage'), false) AND length({sstrip('text')}) > 0")
+    register(
+        "boilerplate_filter", lambda s, d: B.without_boilerplate(paras(s, d), chaps(s, d)).select("row_id"),
+        f"WITH {LATEST}, {CHAPTERS} SELECT row_id FROM lp LEFT JOIN lc USING (project_id, chapter_id) WHERE NOT (coalesce(chapter_order = 0, false) AND ({LICENCE})) AND length({sstrip('original_text')}) > 0",
+    )

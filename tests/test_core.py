@@ -92,6 +92,13 @@ def test_captions_pair_with_the_image_before(spark):
     assert got == {"x000": ("captioned_image", "x001", None), "x002": ("captioned_image", "x003", None), "x004": ("image", None, None)}
 
 
+def test_licence_phrases_go_only_in_the_first_chapter(spark):
+    text = "Permission to make digital or hard copies of this work"
+    df = para(spark, [{"original_text": text}, {"original_text": text, "chapter_id": "chap_1"}, {"original_text": None}, {"original_text": "x"}])
+    chapters = spark.createDataFrame([("p", "chap_0", 0), ("p", "chap_1", 1)], "project_id string, chapter_id string, chapter_order int")
+    assert sorted(r.row_id for r in B.without_boilerplate(df, chapters).collect()) == [1, 3]
+
+
 HEADINGS = [("1 Introduction", 1), ("2.1 Methods", 2), ("Abstract", 1), ("Chapter 3", 1), ("IV Results", 1), ("The map was old.", None), ("Introduction ..... 3", None), ("1. They walked on and on, and the rain did not stop until the evening came.", None), ("", None), ("x", None), (None, None)]
 
 
