@@ -58,6 +58,21 @@ def reading_order(blocks: DataFrame, width: float = PAGE_WIDTH) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(page.orderBy("band", "rank", "y0", "x0", "block_no")).cast("long")).select("doc", "page", "block_no", "side", "place")
 
 
+def split_columns(block_lines: DataFrame, width: float = PAGE_WIDTH) -> DataFrame:
+    """Blocks that an extractor merged across two columns, taken apart where every line is on one side of the middle.
+
+    block_lines: doc, page, block_no, y0, x0, y1, x1, text (a row a line).
+    """
+    mid = width / 2
+    side = F.when(F.col("x1") <= mid, "left").when(F.col("x0") >= mid, "right").otherwise("full")
+    block = Window.partitionBy("doc", "page", "block_no")
+    rows = block_lines.withColumn("side", side)
+    apart = F.every(F.col("side") != "full").over(block) & F.bool_or(F.col("side") == "left").over(block) & F.bool_or(F.col("side") == "right").over(block)
+    rows = rows.withColumn("part", F.when(apart & (F.col("side") == "right"), 1).otherwise(0))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), "\n")
+    return rows.groupBy("doc", "page", "block_no", "part").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"))
+
+
 def _overlap() -> Column:
     w = F.greatest(F.lit(0.0), F.least(F.col("b.x1"), F.col("r.x1")) - F.greatest(F.col("b.x0"), F.col("r.x0")))
     h = F.greatest(F.lit(0.0), F.least(F.col("b.y1"), F.col("r.y1")) - F.greatest(F.col("b.y0"), F.col("r.y0")))

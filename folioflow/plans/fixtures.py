@@ -57,6 +57,10 @@ BLOCKS = Fixture(
         ("d1", 2, 0, 60.0, 100.0, 300.0, 200.0, "in the table"), ("d1", 2, 1, 60.0, 190.0, 300.0, 290.0, "barely touching"), ("d1", 2, 2, 60.0, 400.0, 300.0, 420.0, "in the figure"), ("d1", 2, 3, 60.0, 600.0, 300.0, 620.0, "free"),
     ),
 )
+BLOCK_LINES = Fixture(
+    "blines", "doc string, page int, block_no int, y0 double, x0 double, y1 double, x1 double, text string",
+    (("d1", 0, 0, 100.0, 60.0, 110.0, 290.0, "left a"), ("d1", 0, 0, 100.0, 320.0, 110.0, 550.0, "right a"), ("d1", 0, 0, 112.0, 60.0, 122.0, 290.0, "left b"), ("d1", 0, 1, 200.0, 60.0, 210.0, 290.0, "left"), ("d1", 0, 1, 212.0, 60.0, 222.0, 400.0, "wide"), ("d1", 0, 1, 224.0, 320.0, 234.0, 550.0, "right"), ("d1", 1, 2, 50.0, 320.0, 60.0, 500.0, "only right")),
+)
 REGIONS = Fixture("regions", "doc string, page int, kind string, x0 double, y0 double, x1 double, y1 double", (("d1", 2, "table", 50.0, 90.0, 310.0, 205.0), ("d1", 2, "figure", 50.0, 410.0, 310.0, 500.0)))
 CAPTIONS = Fixture("captions", "doc string, page int, caption_no int, y0 double", (("d1", 0, 1, 300.0), ("d1", 0, 2, 700.0), ("d1", 1, 3, 120.0), ("d1", 1, 4, 400.0)))
 IMAGES = Fixture("images", "doc string, page int, image_no int, y1 double", (("d1", 0, 1, 280.0), ("d1", 0, 2, 650.0), ("d1", 0, 3, 140.0), ("d1", 1, 4, 390.0)))

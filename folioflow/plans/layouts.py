@@ -160,6 +160,7 @@ def register_all() -> None:
         "pdf_reading_order", lambda s: L.reading_order(X.BLOCKS.df(s)),
         f"WITH {X.BLOCKS.sql}, a AS (SELECT *, {side} AS side FROM blocks), b AS (SELECT *, bool_or(side = 'left') OVER p AND bool_or(side = 'right') OVER p AS cols FROM a WINDOW p AS (PARTITION BY doc, page)), c AS (SELECT *, CASE WHEN cols THEN sum((side = 'full')::INT) OVER (PARTITION BY doc, page ORDER BY y0, x0, block_no) * 2 - (side = 'full')::INT ELSE 0 END AS band, CASE WHEN cols AND side = 'right' THEN 1 ELSE 0 END AS rk FROM b) SELECT doc, page, block_no, side, row_number() OVER (PARTITION BY doc, page ORDER BY band, rk, y0, x0, block_no) AS place FROM c",
     )
+    _lit("pdf_split_columns", lambda s: L.split_columns(X.BLOCK_LINES.df(s)), f"WITH {X.BLOCK_LINES.sql}, a AS (SELECT *, CASE WHEN x1 <= 306 THEN 'left' WHEN x0 >= 306 THEN 'right' ELSE 'full' END AS side FROM blines), b AS (SELECT *, CASE WHEN bool_and(side <> 'full') OVER k AND bool_or(side = 'left') OVER k AND bool_or(side = 'right') OVER k AND side = 'right' THEN 1 ELSE 0 END AS part FROM a WINDOW k AS (PARTITION BY doc, page, block_no)) SELECT doc, page, block_no, part, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, chr(10) ORDER BY y0, x0, text) AS text FROM b GROUP BY doc, page, block_no, part")
     area = "greatest(0.0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) * greatest(0.0, least(b.y1, r.y1) - greatest(b.y0, r.y0))"
     _lit("pdf_block_exclusion", lambda s: L.outside_regions(L.noise_blocks(X.BLOCKS.df(s)), X.REGIONS.df(s)), f"WITH {X.BLOCKS.sql}, {X.REGIONS.sql} SELECT * FROM blocks b WHERE NOT (y1 - y0 > 200 AND x1 - x0 < 40) AND NOT (regexp_matches(trim(text), '^\\d{{1,4}}$') AND y0 > 732) AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.doc = b.doc AND r.page = b.page AND CASE WHEN r.kind = 'table' THEN {area} > (b.x1 - b.x0) * (b.y1 - b.y0) * 0.35 ELSE {area} > 0 END)")
     _lit("pdf_caption_match", lambda s: L.caption_regions(X.CAPTIONS.df(s), X.IMAGES.df(s)), f"WITH {X.CAPTIONS.sql}, {X.IMAGES.sql} SELECT doc, page, caption_no, image_no FROM captions JOIN images USING (doc, page) WHERE y1 <= y0 + 1 AND y0 - y1 <= 550 QUALIFY row_number() OVER (PARTITION BY doc, page, caption_no ORDER BY y0 - y1, image_no) = 1")
