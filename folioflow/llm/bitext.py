@@ -79,7 +79,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         joint: Counter = Counter()
-        for pdf in it:
+        for pdf in filter(len, it):
             for o, t in zip(pdf["o"], pdf["t"]):
                 o, t = plain(o), plain(t)
                 src, tgt = words(o), words(t)

@@ -172,7 +172,7 @@ def _scan(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole: Counter = Counter()
-        for pdf in it:
+        for pdf in filter(len, it):
             rests = []
             for row_id, original, translated in pdf.itertuples(index=False):
                 t, o = plain(translated).strip(), plain(original)

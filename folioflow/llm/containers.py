@@ -117,9 +117,9 @@ def fill(items: DataFrame, group: list[str], id_col: str, size_col: str, capacit
     id_type = each.schema["_id"].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             done = [pack([int(x) for x in s], capacity, bounds) for s in pdf["_sizes"]]
-            yield pdf.assign(_batches=done)
+            yield pdf.astype(object).assign(_batches=done)
 
     packed = grouped.mapInPandas(run, f"{types}, block int, _ids array<{id_type}>, _parts array<int>, _sizes array<int>, _batches array<int>")
     flat = packed.select(*group, "block", F.explode(F.arrays_zip("_ids", "_parts", "_sizes", "_batches")).alias("_z"))

@@ -94,7 +94,7 @@ def split_items(items: DataFrame, keys: list[str], limit: int, overlap: int, tex
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema if f.name in keys)
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             offsets, strengths = [], []
             for at, text in zip(pdf["_at"], pdf["_t"]):
                 halo = min(int(at), HALO)
@@ -105,18 +105,18 @@ def split_items(items: DataFrame, keys: list[str], limit: int, overlap: int, tex
                 pairs = sorted((w, s) for (_, s), w in last.items())
                 offsets.append([w for w, _ in pairs])
                 strengths.append([s for _, s in pairs])
-            yield pdf[[*keys, "_len", "_at"]].assign(_offsets=offsets, _strengths=strengths)
+            yield pdf[[*keys, "_len", "_at"]].astype(object).assign(_offsets=offsets, _strengths=strengths)
 
     tables = ranges.mapInPandas(scan, f"{key_types}, _len int, _at int, _offsets array<long>, _strengths array<int>")
     stitched = tables.groupBy(*keys).agg(F.max("_len").alias("_len"), F.sort_array(F.collect_list(F.struct("_at", "_offsets", "_strengths"))).alias("_parts"))
     stitched = stitched.select(*keys, "_len", F.flatten("_parts._offsets").alias("_offsets"), F.flatten("_parts._strengths").alias("_strengths"))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             plans = [plan(int(n), np.asarray(o, dtype="int64"), np.asarray(s, dtype="int64"), limit, overlap) for n, o, s in zip(pdf["_len"], pdf["_offsets"], pdf["_strengths"])]
             rows = [(i, k, a, b, KIND[s]) for i, p in enumerate(plans) for k, (a, b, s) in enumerate(p)]
             flat = pd.DataFrame(rows, columns=["_i", "piece_no", "start_offset", "end_offset", "boundary"])
-            yield pd.concat([pdf[keys].iloc[flat.pop("_i")].reset_index(drop=True), flat], axis=1)
+            yield pd.concat([pdf[keys].astype(object).iloc[flat.pop("_i")].reset_index(drop=True), flat], axis=1)
 
     pieces = stitched.mapInPandas(cut, f"{key_types}, piece_no int, start_offset long, end_offset long, boundary string")
     text = big.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text_col).alias("_t"))
@@ -139,7 +139,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
     cell = max(1, (limit - overlap) // 8)
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             for path, size, start in pdf.itertuples(index=False):
                 with open(path, "rb") as f:
                     f.seek(max(0, start - halo))
@@ -162,7 +162,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
     stitched = tables.groupBy("path").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("start", "offsets", "strengths"))).alias("parts"))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             for path, size, parts in pdf.itertuples(index=False):
                 offsets = np.concatenate([np.asarray(p["offsets"], dtype="int64") for p in parts])
                 strengths = np.concatenate([np.asarray(p["strengths"], dtype="int64") for p in parts])
@@ -172,7 +172,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
     pieces = stitched.mapInPandas(cut, "path string, piece_no int, start_offset long, end_offset long").repartition("path", "piece_no")
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             texts = []
             for path, _, a, b in pdf.itertuples(index=False):
                 with open(path, "rb") as f:

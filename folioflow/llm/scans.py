@@ -425,7 +425,7 @@ def word_counts(paragraphs: DataFrame, books: DataFrame) -> dict[str, int]:
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clean, noisy = Counter(), Counter()
-        for pdf in it:
+        for pdf in filter(len, it):
             for t, scan in zip(pdf["t"], pdf["scan"]):
                 (noisy if scan else clean).update(_WORD.findall(t.lower()))
             if len(clean) + len(noisy) > 500_000:
@@ -435,7 +435,7 @@ def word_counts(paragraphs: DataFrame, books: DataFrame) -> dict[str, int]:
 
     def _frame(clean: Counter, noisy: Counter) -> pd.DataFrame:
         w = [*clean, *(x for x in noisy if x not in clean)]
-        return pd.DataFrame({"word": w, "clean": [clean[x] for x in w], "noisy": [noisy[x] for x in w]})
+        return pd.DataFrame({"word": w, "clean": [clean[x] for x in w], "noisy": [noisy[x] for x in w]}, dtype=object)
 
     counts = rows.mapInPandas(count, "word string, clean long, noisy long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("noisy").alias("noisy"))
     both = F.col("clean") + F.col("noisy")
@@ -465,7 +465,7 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
 
     # What stands at the edges of the pages: numbers, first lines, and the first word after them.
     def edges(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             tops, numbers, tails = [], [], []
             for t in pdf["text"]:
                 m = _TAIL.search(t or "")
@@ -474,7 +474,7 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
                 core = _AFTER.sub("", _BEFORE.sub("", first.strip()))
                 tops.append(fold(core) if _may_be_header(core) else "")
                 numbers.append(edge_numbers(t))
-            yield pd.DataFrame({"project_id": pdf["project_id"], "chapter_id": pdf["chapter_id"], "para_index": pdf["para_index"], "top": tops, "numbers": numbers, "tail": tails})
+            yield pd.DataFrame({"project_id": pdf["project_id"].tolist(), "chapter_id": pdf["chapter_id"].tolist(), "para_index": pdf["para_index"].tolist(), "top": tops, "numbers": numbers, "tail": tails}, dtype=object)
 
     edge = checkpointed(pages.select("project_id", "chapter_id", "para_index", "text").mapInPandas(edges, "project_id string, chapter_id string, para_index int, top string, numbers array<int>, tail string"))
     offsets = edge.select("project_id", "para_index", F.explode("numbers").alias("v")).select("project_id", (F.col("v") - F.col("para_index")).alias("offset")).groupBy("project_id", "offset").count().filter("count >= 3")
@@ -495,7 +495,7 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
     def repair(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words(shared.value)
         keys_of: dict[tuple, set[str]] = {}
-        for pdf in it:
+        for pdf in filter(len, it):
             done = []
             for r in pdf.itertuples(index=False):
                 offset = None if r.offset != r.offset or r.offset is None else int(r.offset)
@@ -510,15 +510,15 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
                     m = _TOKEN.search(body[0]) if body else None
                     following = m.group() if m else ""
                 done.append(repair_page(r.text, keys, known, following, offset, index, r.tail if isinstance(r.tail, str) else ""))
-            yield pdf[["row_id", "project_id", "chapter_id", "para_index"]].assign(paragraphs=[d[0] for d in done], runs_on=[d[1] for d in done], kinds=[d[2] for d in done])
+            yield pdf[["row_id", "project_id", "chapter_id", "para_index"]].astype({"project_id": object, "chapter_id": object}).assign(paragraphs=[d[0] for d in done], runs_on=[d[1] for d in done], kinds=[d[2] for d in done])
 
     repaired = full.mapInPandas(repair, "row_id long, project_id string, chapter_id string, para_index int, paragraphs array<string>, runs_on boolean, kinds array<string>")
 
     def retitle(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words(shared.value)
-        for pdf in it:
+        for pdf in filter(len, it):
             done = [repair_title(t, known) for t in pdf["title"]]
-            yield pd.DataFrame({"chapter_row_id": pdf["chapter_row_id"], "title": [d[0] for d in done], "kinds": [d[1] for d in done]})
+            yield pd.DataFrame({"chapter_row_id": pdf["chapter_row_id"].tolist(), "title": [d[0] for d in done], "kinds": [d[1] for d in done]}, dtype=object)
 
     retitled = chapters.join(books, "project_id").select("chapter_row_id", "title").mapInPandas(retitle, "chapter_row_id long, title string, kinds array<string>")
     return repaired, retitled
