@@ -72,15 +72,15 @@ def greedy_chunks(rows: DataFrame, target_words: int = 1000, max_rows: int = 12,
     tail = tail.withColumn("_halo", F.expr(f"slice(_halo, greatest(size(_halo) - {keep} + 1, 1), {keep})")) if max_rows > 1 else tail.withColumn("_halo", F.array().cast("array<long>"))
 
     def maps(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             done = [_block_maps([int(x) for x in s], [int(x) for x in h], target_words, max_rows) for s, h in zip(pdf["_sizes"], pdf["_halo"])]
-            yield pdf[[*CHAPTER, "_b"]].assign(_outs=[d[0] for d in done], _starts=[d[1] for d in done])
+            yield pdf[[*CHAPTER, "_b"]].astype(object).assign(_outs=[d[0] for d in done], _starts=[d[1] for d in done])
 
     table = tail.select(*CHAPTER, "_b", "_sizes", "_halo").mapInPandas(maps, "project_id string, chapter_id string, _b long, _outs array<int>, _starts array<int>")
     chained = table.groupBy(*CHAPTER).agg(F.sort_array(F.collect_list(F.struct("_b", "_outs", "_starts"))).alias("_t"))
 
     def chain(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             out = []
             for p, c, blocks in zip(pdf["project_id"], pdf["chapter_id"], pdf["_t"]):
                 n = made = 0
@@ -96,7 +96,7 @@ def greedy_chunks(rows: DataFrame, target_words: int = 1000, max_rows: int = 12,
     state = items.join(entry, [*CHAPTER, "_b"], "left").select(*CHAPTER, "_items", F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_made", F.lit(0).cast("long")).alias("_made"), F.coalesce("_halo", F.array().cast("array<long>")).alias("_halo"))
 
     def number(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in filter(len, it):
             numbers = []
             for rows_, n, made, halo in zip(pdf["_items"], pdf["_n"], pdf["_made"], pdf["_halo"]):
                 words = [int(x["n_words"]) for x in rows_]
@@ -106,7 +106,7 @@ def greedy_chunks(rows: DataFrame, target_words: int = 1000, max_rows: int = 12,
                     k += i in begins
                     own.append(k)
                 numbers.append(own)
-            yield pdf[[*CHAPTER, "_items"]].assign(_numbers=numbers)
+            yield pdf[[*CHAPTER, "_items"]].astype(object).assign(_numbers=numbers)
 
     item = "array<struct<para_index:int,para_id:string,n_words:bigint>>"
     flat = state.mapInPandas(number, f"project_id string, chapter_id string, _items {item}, _numbers array<long>").select(*CHAPTER, F.explode(F.arrays_zip("_items", "_numbers")).alias("_z"))

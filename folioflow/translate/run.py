@@ -40,7 +40,7 @@ def run_prompts(prompts: DataFrame, keys: list[str], make: Callable[[], Translat
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
-        for pdf in it:
+        for pdf in filter(len, it):
             replies, calls, errors = [], [], []
             for prompt in pdf["prompt"]:
                 reply, error, n = None, None, 0
@@ -53,7 +53,7 @@ def run_prompts(prompts: DataFrame, keys: list[str], make: Callable[[], Translat
                 replies.append(reply)
                 calls.append(n)
                 errors.append(error)
-            yield pdf[keys].assign(reply=replies, calls=calls, error=errors)
+            yield pdf[keys].astype(object).assign(reply=replies, calls=calls, error=errors)
 
     return rows.mapInPandas(run, f"{types}, reply string, calls int, error string")
 
