@@ -53,6 +53,20 @@ def project_rollup(progress: DataFrame) -> DataFrame:
     return out.withColumn("progress", percent(F.col("done_rows"), F.col("total_rows"), 0.0))
 
 
+def missing_pages(pages: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """project_id, page of the pages without text yet, from ``start`` to ``end``: all pages of each book by default.
+
+    Only pages that a book has are looked at, so the range ends at the book's own first and last page.
+    """
+    wanted = pages.filter("page is not null")
+    if start is not None:
+        wanted = wanted.filter(F.col("page") >= start)
+    if end is not None:
+        wanted = wanted.filter(F.col("page") <= end)
+    read = pages.filter(F.length(strip(F.col("translated_text"))) > 0).select("project_id", "page")
+    return wanted.select("project_id", "page").join(read, ["project_id", "page"], "left_anti").distinct()
+
+
 def project_type(document_type: Column, source_format: Column) -> Column:
     """The type, or for old projects paper for pdf and novel for the rest."""
     return F.when(F.coalesce(document_type, F.lit("")) != "", document_type).when(source_format == "pdf", "paper").otherwise("novel")

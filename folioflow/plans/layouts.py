@@ -196,7 +196,7 @@ def register_all() -> None:
     register("response_fallback", _resolved_replies, REPLY_SQL)
     # Pages and events of the driver's tables.
     register("scanned_detect", lambda s, d: _pages(s, d).filter("page < 15").groupBy("project_id").agg((F.avg((F.length(F.trim("original_text")) > 60).cast("int")) < 0.2).alias("scanned")), f"WITH {PAGES} SELECT project_id, avg((length(trim(original_text)) > 60)::INT) < 0.2 AS scanned FROM pgs WHERE page < 15 GROUP BY ALL")
-    register("ocr_missing_pages", lambda s, d: _pages(s, d).filter(F.col("page").between(0, 400)).select("project_id", "page").join(_pages(s, d).filter(F.length(T.strip(F.col("translated_text"))) > 0).select("project_id", "page"), ["project_id", "page"], "left_anti").distinct(), f"WITH {PAGES} SELECT DISTINCT project_id, page FROM pgs WHERE page BETWEEN 0 AND 400 AND (project_id, page) NOT IN (SELECT project_id, page FROM pgs WHERE length(coalesce({sstrip('translated_text')}, '')) > 0)")
+    register("ocr_missing_pages", lambda s, d: B.missing_pages(_pages(s, d)), f"WITH {PAGES} SELECT DISTINCT project_id, page FROM pgs WHERE page BETWEEN 0 AND 400 AND (project_id, page) NOT IN (SELECT project_id, page FROM pgs WHERE length(coalesce({sstrip('translated_text')}, '')) > 0)")
     register("resume_plan", lambda s, d: B.chunk_candidates(paras(s, d)).groupBy("project_id", "chapter_id").agg(F.count("*").alias("rows_left"), F.min("para_index").alias("first_index")), f"WITH {LATEST} SELECT project_id, chapter_id, count(*) AS rows_left, min(para_index) AS first_index FROM lp WHERE coalesce(tag <> 'img', true) AND NOT coalesce(status IN ('done', 'edited'), false) GROUP BY ALL")
     cols = ["event_id", "project_id", "chapter_id", "para_id", "level_name", "message"]
     sel = ", ".join(cols)

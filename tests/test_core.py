@@ -15,6 +15,7 @@ from folioflow.operators import glossary as G
 from folioflow.operators import layout as L
 from folioflow.operators import toc as O
 from folioflow.plans import fixtures as X
+from folioflow.plans import registry
 from folioflow.sinks import files as S
 from folioflow.sources import files as SF
 from folioflow.sources.html import leaf_elements
@@ -182,6 +183,20 @@ def test_ocr_takes_only_missing_pages_and_gives_up(spark):
     assert got == {1: ("text", None), 2: (None, "unreadable")}
 
 
+def test_missing_pages_reach_the_end_of_the_book(spark):
+    pages = spark.createDataFrame([("p", i, "x" if i % 2 else " ") for i in range(500)] + [("q", 0, None), ("q", 0, None), ("q", 1, "x"), ("q", None, None)], "project_id string, page int, translated_text string")
+    assert sorted(rows(B.missing_pages(pages))) == [("p", i) for i in range(0, 500, 2)] + [("q", 0)]
+    assert sorted(rows(B.missing_pages(pages, 398, 9999))) == [("p", i) for i in range(398, 500, 2)]
+    assert sorted(rows(B.missing_pages(pages, -5, 2))) == [("p", 0), ("p", 2), ("q", 0)]
+    assert rows(B.missing_pages(pages, 600)) == []
+
+
+def test_missing_pages_query_counts_pages_after_400(spark, tmp_path):
+    para(spark, [{"para_index": i + 1} for i in range(450)]).write.parquet(str(tmp_path / "paragraphs.parquet"))
+    spark.createDataFrame([("p", "pdf", T0)], "project_id string, source_format string, loaded_at timestamp").write.parquet(str(tmp_path / "projects.parquet"))
+    assert sorted(r.page for r in registry.queries()["ocr_missing_pages"](spark, str(tmp_path)).collect()) == list(range(450))
+
+
 def test_translator_runs_retry_and_keep_failures(spark):
     class Flaky(StubTranslator):
         def __init__(self):
