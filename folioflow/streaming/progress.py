@@ -18,11 +18,12 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
     return stream.option("pathGlobFilter", name).parquet(folder) if single else stream.option("pathGlobFilter", "*.parquet").parquet(path)
 
 
-def deduplicated(events: DataFrame, lateness: str = "10 days") -> DataFrame:
-    """Repeated deliveries dropped while the watermark remembers them."""
-    rows = events.withColumn("event_at", F.col("event_at").cast("timestamp"))
-    key = ["project_id", "chapter_id", "para_id", "level_name", "message", "event_at"]
-    return rows.withWatermark("event_at", lateness).dropDuplicatesWithinWatermark(key)
+def deduplicated(events: DataFrame) -> DataFrame:
+    """Repeated deliveries dropped, however late they are and in whatever order files come.
+
+    No watermark, as that would drop late first deliveries too: the state holds the key of every event so far.
+    """
+    return events.dropDuplicates(["project_id", "chapter_id", "para_id", "level_name", "message", "event_at"])
 
 
 def hourly_progress(events: DataFrame, lateness: str = "10 days") -> DataFrame:

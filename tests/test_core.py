@@ -1,6 +1,7 @@
 """Operators against small fixtures, with nulls, empties, ties and repeated rows."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -19,6 +20,7 @@ from folioflow.plans import registry
 from folioflow.sinks import files as S
 from folioflow.sources import files as SF
 from folioflow.sources.html import leaf_elements
+from folioflow.streaming import progress as P
 from folioflow.translate.ratelimit import JobState, KeyPool
 from folioflow.translate.run import StubTranslator, failed, run_prompts
 
@@ -142,6 +144,22 @@ def test_repeated_events_count_once_and_late_ones_stay(spark):
     assert [r.event_id for r in E.late_events(once).collect()] == [3]
 
 
+def test_the_event_stream_keeps_old_events_of_later_batches(spark, tmp_path):
+    ev = "event_id long, project_id string, chapter_id string, para_id string, level_name string, message string, event_at timestamp_ntz, received_at timestamp_ntz"
+    new = T0 + dt.timedelta(300)
+    files = [[(1, new)], [(2, T0)], [(3, new), (4, T0 + dt.timedelta(1))], [(5, T0), (6, T0 + dt.timedelta(2))]]
+    for i, f in enumerate(files):  # newest first; a batch each
+        folder = tmp_path / f"w{i}"
+        spark.createDataFrame([(e, "p", "c", None, None, "m", at, at) for e, at in f], ev).coalesce(1).write.parquet(str(folder))
+        (tmp_path / "job_events.parquet").mkdir(exist_ok=True)
+        target = tmp_path / "job_events.parquet" / f"{i}.parquet"
+        next(folder.glob("*.parquet")).rename(target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = P.deduplicated(P.read_events(spark, str(tmp_path / "job_events.parquet"), files_per_trigger=1))
+    P.run_once(stream, str(tmp_path / "out"), str(tmp_path / "offsets"))
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 4, 6]
+
+
 def test_leaf_elements_wrap_loose_text_and_keep_ordinals():
     got = [(i, t, x) for i, t, x, _, _ in leaf_elements("<div>loose <i>text</i><p>inner</p>tail</div><p></p><hr/><ul><li>a</li><li><p>b</p></li></ul><p>one<p>two")]
     assert got == [(0, "p", "loose text"), (1, "p", "inner"), (2, "p", "tail"), (4, "hr", ""), (5, "li", "a"), (6, "p", "b"), (7, "p", "one"), (8, "p", "two")]
