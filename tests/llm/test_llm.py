@@ -151,6 +151,21 @@ def test_defects(spark, world):
     assert got == {400: "refusal", 401: "refusal", 402: "refusal", 403: "refusal", 404: "empty", 405: "empty", 406: "copy", 408: "wrong_language", 409: "wrong_language"}
 
 
+def test_refusals_count_by_any_shingle_of_their_openings(spark, world):
+    rnd = random.Random(5)
+
+    def opening(shared):
+        fill = ["".join(rnd.choice("bdklmnrst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(9)]
+        at = rnd.randint(0, 9)
+        return " ".join([*fill[:at], shared, *fill[at:]])
+
+    shared = ["this passage must stay untouched", "không được phép xử lý", "outside what i may handle", "nằm ngoài phạm vi hỗ"]
+    refusals = [{"original_text": sentence(random.Random(i))[0] + f" {i}", "translated_text": opening(x)} for i, x in enumerate(shared * 3)]
+    alone = [{"original_text": sentence(random.Random(99))[0], "translated_text": opening("that recurs in two only")} for _ in range(2)]
+    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + alone)).collect()}
+    assert got == dict.fromkeys(range(400, 412), "refusal")
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
