@@ -166,6 +166,18 @@ def test_refusals_count_by_any_shingle_of_their_openings(spark, world):
     assert got == dict.fromkeys(range(400, 412), "refusal")
 
 
+def test_refusals_that_name_their_original_and_copies_with_many_marks_are_found(spark, world):
+    o = "Anna: the lantern is harder to explain than the river. Nobody believed in the compiler near the harbor. A message explained the old bridge and the letter."
+    refusals = [{"original_text": f"{o} {'x' * i}", "translated_text": "Rất tiếc, tôi không thể dịch đoạn văn nói về Anna vào lúc này."} for i in range(3)]
+    cut = {"original_text": o, "translated_text": "Rất tiếc, tôi không thể dịch đoạn văn nói về Anna"}
+    marked = "The lantern of ấầẩẫậ ấầẩẫậ is harder to explain than the river."
+    mixed = "It was the lantern that the river had, and there was more of it. Ấầẩẫậ ấầẩẫậ."
+    odd = [cut, {"original_text": marked, "translated_text": marked.upper()}, {"original_text": o, "translated_text": f"{mixed} Chiếc đèn lồng khó giải thích hơn dòng sông."}]
+    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + odd)).collect()}
+    assert {k: got.get(k) for k in range(400, 406)} == {400: "refusal", 401: "refusal", 402: "refusal", 403: got.get(403), 404: "copy", 405: "wrong_language"}
+    assert got.get(403) != "refusal"
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
