@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
+
 GROUP_TITLE = r"(?iu)^(?:part|book|volume|phần|quyển)\b"
 
 
@@ -37,7 +39,7 @@ def reading_spine(spine: DataFrame) -> DataFrame:
 def promoted(toc: DataFrame, depth: int = 8) -> DataFrame:
     """The entries that open chapters: the shallowest ones, where pure grouping nodes give way to their children.
 
-    At most ``depth`` levels; each level is one join with the children.
+    Each level is one join with the children, down to the last grouping node; lineage is cut each ``depth`` levels.
     """
     first = toc.groupBy("doc_id", F.col("parent_pos").alias("toc_pos")).agg(F.min_by("path", "toc_pos").alias("child_path"), F.count("*").alias("children"))
     nodes = toc.join(first, ["doc_id", "toc_pos"], "left")
@@ -47,11 +49,16 @@ def promoted(toc: DataFrame, depth: int = 8) -> DataFrame:
     nodes = nodes.withColumn("grouping", F.coalesce(grouping, F.lit(False)))
     level = nodes.filter("parent_pos is null")
     out = None
-    for _ in range(depth):
-        keep = level.filter(~F.col("grouping"))
-        out = keep if out is None else out.unionByName(keep)
-        parents = level.filter("grouping").select("doc_id", F.col("toc_pos").alias("parent_pos"))
-        level = nodes.join(parents, ["doc_id", "parent_pos"], "left_semi")
+    while True:
+        for _ in range(depth):
+            keep = level.filter(~F.col("grouping"))
+            out = keep if out is None else out.unionByName(keep)
+            parents = level.filter("grouping").select("doc_id", F.col("toc_pos").alias("parent_pos"))
+            level = nodes.join(parents, ["doc_id", "parent_pos"], "left_semi")
+        level = checkpointed(level)
+        if level.isEmpty():
+            break
+        out = checkpointed(out)
     return out.select("doc_id", "toc_pos", "title", "path", "fragment")
 
 

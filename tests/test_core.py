@@ -129,6 +129,13 @@ def test_elements_belong_to_the_last_start(spark):
     assert got["b1", 2, 0] == "Chapter 1" and got["b1", 2, 2] == "Chapter 2" and got["b1", 4, 0] == "Notes" and got["b2", 0, 0] == "Preamble" and got["b2", 0, 1] == "Deep"
 
 
+def test_chapters_below_many_grouping_nodes_are_kept(spark):
+    nested = [("b", i, i - 1 if i else None, i, f"Part {i}", "", "") for i in range(19)] + [("b", 19, 18, 19, "Deep", "x.html", "f"), ("b", 20, 5, 6, "Middle", "y.html", "")]
+    toc = spark.createDataFrame(nested, "doc_id string, toc_pos int, parent_pos int, depth int, title string, path string, fragment string")
+    assert sorted(r.title for r in O.promoted(toc).collect()) == ["Deep", "Middle"]
+    assert O.promoted(toc.limit(0)).count() == 0
+
+
 def test_glossary_keeps_the_first_place_and_the_last_entry(spark):
     got = {(r.project_id, r.key): (r.place, r.name, r.role) for r in G.resolved_characters(X.CHARACTERS.df(spark)).collect()}
     assert got["p1", "anna"] == (0, "ANNA", "queen")
