@@ -11,8 +11,8 @@ neighbour's original still lacks is the rest of a division.
 
 Defined results: sentences count from 0 in the consistent form of the text; null or blank
 sides give no pair; repeated rows are aligned each; ties go to the pair nearest the diagonal.
-Work is one pass over each row: a text of any length is held by one task, its points are
-limited to ``MAX_REPEAT`` nearest occurrences of a token on the other side.
+Work is one pass over each row: a text of any length is held by one task, with all its points; a
+token that comes s and t times on the sides has s * t of them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .bitext import Lexicon, match, plain, sentences
 
-MAX_REPEAT = 64
 TOLERANCES = (0.3, 0.6, 1.0)
 LEAST, LEAST_SHARE = 3.0, 0.2
 
@@ -51,13 +50,9 @@ def align(source: str | None, target: str | None, lexicon: Lexicon) -> list[tupl
     s_of, t_of = _owner(s_spans, [x.start() for x in m.src]), _owner(t_spans, [x.start() for x in m.tgt])
     slope = len(target) / max(1, len(source))
 
-    near: dict[int, list] = defaultdict(list)
-    for i, j, w in m.points:
-        near[i].append((abs(m.src[i].start() * slope - m.tgt[j].start()), j, w))
     cells: dict[tuple[int, int], list] = defaultdict(list)
-    for i, hits in near.items():
-        for _, j, w in sorted(hits)[:MAX_REPEAT]:
-            cells[s_of[i], t_of[j]].append((i, j, w))
+    for i, j, w in sorted(m.points, key=lambda p: (p[0], abs(m.src[p[0]].start() * slope - m.tgt[p[1]].start()), p[1], p[2])):
+        cells[s_of[i], t_of[j]].append((i, j, w))
 
     total = [0.0] * len(t_spans)  # weight that would explain a translated sentence wholly
     for j in range(len(m.tgt)):
