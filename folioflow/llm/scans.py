@@ -486,9 +486,10 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
     titles = chapters.join(books, "project_id").filter("title is not null").groupBy("project_id", "chapter_id").agg(F.max("title").alias("chapter_title"))
     full = pages.join(titles, ["project_id", "chapter_id"], "left").join(offsets, "project_id", "left").join(tops, "project_id", "left").join(tails, ["project_id", "para_index"], "left")
 
-    # The first words of the next page, for pages that end inside a word.
-    heads = pages.select("project_id", (F.col("para_index") - 1).alias("para_index"), F.substring("text", 1, 300).alias("_next"), "row_id").groupBy("project_id", "para_index").agg(F.min_by("_next", "row_id").alias("next_text"))
+    # The whole next page, for pages that end inside a word; no other page is sent.
     open_end = F.coalesce(F.col("text").rlike(rf"[{HYPHENS}]\s*(?:\n[^\n]{{0,14}})?\s*$"), F.lit(False))
+    wanted = pages.filter(open_end).select("project_id", (F.col("para_index") + 1).alias("para_index")).distinct()
+    heads = pages.join(wanted, ["project_id", "para_index"], "left_semi").groupBy("project_id", (F.col("para_index") - 1).alias("para_index")).agg(F.min_by("text", "row_id").alias("next_text"))
     plain = full.filter(~open_end).withColumn("next_text", F.lit(None).cast("string"))
     full = plain.unionByName(full.filter(open_end).join(heads, ["project_id", "para_index"], "left"))
 
@@ -507,7 +508,7 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
                 following = ""
                 if isinstance(r.next_text, str):
                     body = page_parts(r.next_text, keys, offset, None if index is None else index + 1)[1]
-                    m = _TOKEN.search(body[0]) if body else None
+                    m = next(filter(None, map(_TOKEN.search, body)), None)
                     following = m.group() if m else ""
                 done.append(repair_page(r.text, keys, known, following, offset, index, r.tail if isinstance(r.tail, str) else ""))
             yield pdf[["row_id", "project_id", "chapter_id", "para_index"]].astype({"project_id": object, "chapter_id": object}).assign(paragraphs=[d[0] for d in done], runs_on=[d[1] for d in done], kinds=[d[2] for d in done])

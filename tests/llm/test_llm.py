@@ -279,6 +279,16 @@ def test_headers_without_a_title_repeat_at_the_top(spark):
     assert scans.found(paras(spark, pages).limit(0), chapters.limit(0), books.limit(0)).count() == 0
 
 
+def test_the_next_page_is_read_beyond_blank_lines(spark):
+    known = "they came every day and everyone came to a half-open gate of the school one more time"
+    texts = ["they came every-", "\n" + " \n" * 200 + "one came.", "they came half-", "\n" + " \n" * 200 + "open the school."]
+    rows = [{"original_text": t, "para_index": i + 1} for i, t in enumerate(texts)] + [{"project_id": "q", "original_text": known, "para_index": i} for i in range(50)]
+    books = spark.createDataFrame([("p", "Other", "pdf", "textbook"), ("q", "Words", "txt", "novel")], "project_id string, title string, source_format string, document_type string")
+    chapters = spark.createDataFrame([(1, "p", "c", None)], "chapter_row_id long, project_id string, chapter_id string, title string")
+    got = {r.row_id: set(r.kinds) for r in scans.repair_books(paras(spark, rows), chapters, books)[0].collect()}
+    assert (got[0], got[2]) == ({"hyphen"}, set())
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
