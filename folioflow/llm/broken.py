@@ -3,40 +3,42 @@
 A translation is open if it does not end with a sentence mark; closing quotes, brackets,
 ellipses and remains of a cut character do not count. The open rest, from its last connecting word on, is looked
 up among the phrases of all translations: the corpus is cut into phrases at connecting words, names
-and numbers (which match those of the original and become slots), and a self-join by prefix finds the
-rests that are strict prefixes of longer phrases elsewhere: short values by the hashes of
-all their prefixes, long ones by sorting the values that share a prefix of fixed length. The exact
+and numbers (which match those of the original and become slots), and a self-join by prefix over the
+sorted values finds the rests that are strict prefixes of longer phrases elsewhere. The exact
 check then asks whether the rest is also a whole phrase elsewhere, and if so how much of what the
 lexicon expects for its original sentence is missing.
 
 Defined results: null and blank translations, and ones without any word, are not cut off; a
 missing final mark alone is none; a rest is judged against the sentence of the original that it
-matches best, so an original that ends openly is no reason; repeated rows are judged each.
+matches best, so an original that ends openly is no reason; repeated rows are judged each. ``CONNECTORS``
+are of the target language; for another one, give its own and its code in ``documents.lang``.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import checkpointed
+from . import language
 from .bitext import WORD, Lexicon, learn, match, pairs, plain, sentences
+from .language import Profiles, spoken
+
+TARGET = "vi"
 
 #: Connecting words of Vietnamese at which a phrase begins; fixed values.
 CONNECTORS = frozenset("và về của với ở từ đến cho vào gần sau là rằng hơn cùng mà có đã được như thì nhưng vì để khi trước bất còn rồi hay hoặc tại trong bằng lại".split())
-SHORT = 12
 MISSING = 0.08
 LEAST_OWN = 0.4
 _CLOSERS = re.compile(r"(?:[\s\"'”’»)\]}…�]|\.{2,})+$")
 _MARKED = re.compile(r"[.!?。！？]$")
 _SENTENCE_MARK = re.compile(r"[^\d\s][.!?…](?=\s|$)|\d[.!?…](?=\s*$)")  # not the number of a title
-_VIETNAMESE = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
 
 
 def open_rest(text: str) -> str | None:
@@ -60,38 +62,32 @@ def _kind(mark: str) -> str:
     return "…" if mark.startswith("..") else "—" if mark in "–-" else mark
 
 
-def slots(text: str, shared: set[str]) -> list[str]:
-    """Words in lower case; names and numbers that stand in the original too become slots."""
+_NO_ENTRY = {"": 0.0}
+_BEGINS = CONNECTORS | {"#", "@"}
+
+
+def phrases(tokens: list[str], shared: set[str]) -> list[str]:
+    """The phrases of a sentence in lower case; one that goes on has an arrow at its end.
+
+    Names and numbers that stand in the original (``shared``) too become slots.
+    """
     out: list[str] = []
+    phrase: list[str] = []
     last = ""
-    for w in WORD.findall(text):
-        if w[0].islower():
-            last = w.lower()
-            out.append(last)
-        elif w in shared:
+    for w in tokens:
+        if w in shared and not w[0].islower():
             slot = "#" if w[0].isdigit() else "@"
-            if slot != last:
-                out.append(slot)
+            if slot == last:
+                continue
             last = slot
         else:
             last = w.lower()
-            out.append(last)
-    return out
-
-
-_NO_ENTRY = {"": 0.0}
-_BEGINS = CONNECTORS | {"#", "@"}
-
-
-def phrases(tokens: list[str]) -> list[tuple[str, bool]]:
-    """(phrase, whether it ends the sentence); a phrase that goes on has an arrow at its end."""
-    out, start = [], 0
-    for i, t in enumerate(tokens):
-        if i and t in _BEGINS:
-            out.append((" ".join(tokens[start:i]) + " >", False))
-            start = i
-    if tokens:
-        out.append((" ".join(tokens[start:]), True))
+        if phrase and last in _BEGINS:
+            out.append(" ".join(phrase) + " >")
+            phrase = []
+        phrase.append(last)
+    if phrase:
+        out.append(" ".join(phrase))
     return out
 
 
@@ -161,75 +157,129 @@ def missing_share(source: str, rest: str, lexicon: Lexicon) -> float:
     return least
 
 
-def looks_foreign(text: str) -> bool:
-    """A rest of several words without any Vietnamese letter."""
-    return len(WORD.findall(text)) >= 4 and not _VIETNAMESE.search(text.lower())
+def open_phrases(original: str, rest: str, tokens: list[str], shared: set[str], lexicon: Lexicon) -> list[tuple[str, float]]:
+    """(phrase that an open rest ends with, share of its original that is missing); two if its last word may be part of a connecting one."""
+    last = tokens[-1] if tokens else ""
+    if last[:1].isupper() and last not in shared and any(x.startswith(last) for x in shared):
+        return [((phrases(tokens[:-1], shared) or ["@"])[-1], 1.0)]  # cut inside a name: what stands before it goes on elsewhere
+    found = phrases(tokens, shared)
+    if not found:
+        return []
+    missing = missing_share(original, rest, lexicon)
+    word = last.lower()
+    if not missing and last not in shared and word not in lexicon.syllables and word not in CONNECTORS and not last.isdigit():
+        missing = 0.5  # the last word is none: cut inside it
+    ends = found[-1].rpartition(" ")[2]
+    inside = ends not in CONNECTORS and any(c.startswith(ends) for c in CONNECTORS)
+    return [(found[-1], missing), *([(ends, missing)] if inside else [])]
 
 
-def _scan(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Phrases of the corpus (row_id null, summed per batch) and the open rests (with row_id)."""
-    shared_lexicon = rows.sparkSession.sparkContext.broadcast(lexicon)
+#: What a reader of rows may add for each of them: (defect, opening, prompt), or None.
+Judge = Callable[[str, str, list[str], list[list[str]], list[str]], "tuple[str | None, str | None, int] | None"]
+SCANNED = "row_id long, value string, n long, missing double, title boolean, defect string, opening string, prompt long"
+_NAMES = [c.split()[0] for c in SCANNED.split(", ")]
+_ARROW = pa.schema([("row_id", pa.int64()), ("value", pa.string()), ("n", pa.int64()), ("missing", pa.float64()), ("title", pa.bool_()), ("defect", pa.string()), ("opening", pa.string()), ("prompt", pa.int64())])
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def scan(rows: DataFrame, lexicon: Lexicon, profiles: Profiles, judge: Judge | None = None, target_lang: str = TARGET) -> DataFrame:
+    """One reading of the rows (row_id, judged, original, translation), with three kinds of results.
+
+    Phrases of the corpus (row_id null, summed per batch), open rests (row_id and value), and what
+    ``judge`` says of the rows that are to be judged (row_id, no value).
+    """
+    shared_model = rows.sparkSession.sparkContext.broadcast((lexicon, profiles))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, prof = shared_model.value
         whole: Counter = Counter()
-        for pdf in filter(len, it):
-            rests = []
-            for row_id, original, translated in pdf.itertuples(index=False):
+        for batch in it:
+            out, rests, texts, at, judged = [], [], [], [], []
+            for row_id, wanted, original, translated in zip(*(c.to_pylist() for c in batch.columns)):
                 t, o = plain(translated).strip(), plain(original)
-                shared = set(WORD.findall(o))
-                rest = open_rest(t)
+                src = WORD.findall(o)
+                shared = set(src)
                 spans = sentences(t)
-                alike = rest is not None and open_alike(o, t)
-                title = rest is not None and not _SENTENCE_MARK.search(t) and not _SENTENCE_MARK.search(o)
-                for a, b in spans if rest is None or alike or title else spans[:-1]:
-                    whole.update(phrases(slots(t[a:b], shared)))
-                if rest is None or alike or looks_foreign(rest):
-                    continue
-                tokens = slots(rest, shared)
-                last = WORD.findall(rest)[-1:] or [""]
-                if last[0][:1].isupper() and last[0] not in shared and any(x.startswith(last[0]) for x in shared):
-                    tokens.pop()  # cut inside a name: what stands before it goes on elsewhere
-                    tokens += ["@"] * (not tokens)
-                    rests.append((row_id, (phrases(tokens) or [("@", True)])[-1][0], 1.0, title))
-                elif tokens:
-                    missing = missing_share(o, rest, shared_lexicon.value)
-                    if not missing and last[0] not in shared and last[0].lower() not in shared_lexicon.value.syllables and last[0].lower() not in CONNECTORS and not last[0].isdigit():
-                        missing = 0.5  # the last word is none: cut inside it
-                    rests.append((row_id, phrases(tokens)[-1][0], missing, title))
-                    if tokens[-1] not in CONNECTORS and any(c.startswith(tokens[-1]) for c in CONNECTORS):
-                        rests.append((row_id, tokens[-1], missing, title))  # cut inside a connecting word
-            if rests:
-                yield pd.DataFrame([(r, v, 0, m, t) for r, v, m, t in rests], columns=["row_id", "value", "n", "missing", "title"]).astype({"row_id": "Int64"})
+                tokens = [WORD.findall(t[a:b]) for a, b in spans]
+                if t:
+                    rest = open_rest(t)
+                    alike = rest is not None and open_alike(o, t)
+                    title = rest is not None and not _SENTENCE_MARK.search(t) and not _SENTENCE_MARK.search(o)
+                    for words in tokens if rest is None or alike or title else tokens[:-1]:
+                        whole.update(phrases(words, shared))
+                    if rest is not None and not alike:
+                        rests.append((row_id, o, rest, title, shared))
+                if wanted and judge is not None:
+                    judged.append((row_id, o, t, src, tokens, len(texts)))
+                    texts += map(spoken, tokens)
+            said = prof.languages(texts)
+            for row_id, o, t, src, tokens, first in judged:
+                if got := judge(o, t, src, tokens, said[first : first + len(tokens)]):
+                    out.append((row_id, None, None, None, None, *got))
+            own = [WORD.findall(r[2]) for r in rests]
+            foreign = [len(w) >= 4 and lang not in ("", target_lang) for w, lang in zip(own, prof.languages([*map(spoken, own)]))]
+            for (row_id, o, rest, title, shared), words, other in zip(rests, own, foreign):
+                if not other:  # a rest in another language is no rest of a translation
+                    out += [(row_id, v, 0, m, title, None, None, None) for v, m in open_phrases(o, rest, words, shared, lex)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], _NAMES)
             if len(whole) > 200_000:
                 yield _frame(whole)
                 whole = Counter()
         yield _frame(whole)
 
-    def _frame(whole: Counter) -> pd.DataFrame:
-        out = pd.DataFrame([(None, v, n if final else 0, None, False) for (v, final), n in whole.items()], columns=["row_id", "value", "n", "missing", "title"])
-        return out.astype({"row_id": "Int64", "n": "int64", "missing": "float64"})
+    def _frame(whole: Counter) -> pa.RecordBatch:
+        n, values = len(whole), list(whole)
+        counts = [0 if v.endswith(">") else whole[v] for v in values]
+        given = {"value": pa.array(values, pa.string()), "n": pa.array(counts, pa.int64())}
+        return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in _ARROW], _NAMES)
 
-    return rows.mapInPandas(run, "row_id long, value string, n long, missing double, title boolean")
+    return rows.mapInArrow(run, SCANNED)
 
 
 def strict_prefixes(values: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted values that are strict prefixes of some value; both have one distinct column, value."""
-    some = F.expr(f"transform(sequence(1, least({SHORT - 1}, length(value) - 1)), k -> substring(value, 1, k))")
-    heads = values.filter("length(value) > 1").select(F.explode(some).alias("value"))
-    short = wanted.filter(f"length(value) < {SHORT}").join(heads.distinct(), "value", "left_semi")
-    both = values.select("value", F.lit(0).alias("w")).unionByName(wanted.select("value", F.lit(1).alias("w"))).filter(f"length(value) >= {SHORT}").groupBy("value").agg(F.max("w").alias("w"))
-    after = F.lead("value").over(Window.partitionBy(F.substring("value", 1, SHORT)).orderBy("value"))
-    long = both.withColumn("_next", after).filter((F.col("w") == 1) & F.col("_next").startswith(F.col("value"))).select("value")
-    return short.unionByName(long)
-
-
-def judged(paragraphs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """row_id of the translations that break off."""
-    lexicon = lexicon or learn(paragraphs)
-    rows = paragraphs.filter(F.length(F.trim("translated_text")) > 0).select("row_id", F.col("original_text"), F.col("translated_text"))
-    scanned = checkpointed(_scan(rows, lexicon))
-    corpus = scanned.filter("row_id is null").groupBy("value").agg(F.sum("n").alias("whole"))
-    rests = scanned.filter("row_id is not null").select("row_id", "value", "missing", "title")
+    """The wanted values that are strict prefixes of some value; both have one distinct column, value.
+
+    All values are sorted by ranges: what a value is a prefix of stands right behind it. Values are
+    distinct, so no range is hot. Between ranges, only the last value of one and the first of the
+    next meet: two rows a range, which go to the driver.
+    """
+    spark = values.sparkSession
+    both = values.select("value", F.lit(0).alias("w")).unionByName(wanted.select("value", F.lit(1).alias("w"))).groupBy("value").agg(F.max("w").alias("w"))
+    ranged = both.filter("value is not null").repartitionByRange("value").sortWithinPartitions("value").select("value", "w", F.spark_partition_id().alias("part"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_value, part = None, None
+        for b in it:
+            if not b.num_rows:
+                continue
+            value, out = b.column(0), []
+            if part is None:
+                part = b.column(2)[0].as_py()
+                out.append((value[0].as_py(), part, 0))
+            elif open_value is not None and value[0].as_py().startswith(open_value):
+                out.append((open_value, part, 1))
+            hits = np.flatnonzero(b.column(1).to_numpy() == 1)
+            for i in hits[hits < b.num_rows - 1].tolist():
+                v = value[i].as_py()
+                if value[i + 1].as_py().startswith(v):
+                    out.append((v, part, 1))
+            open_value = value[b.num_rows - 1].as_py() if len(hits) and hits[-1] == b.num_rows - 1 else None
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["value", "part", "kind"])
+        if open_value is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([open_value]), pa.array([part], pa.int32()), pa.array([2], pa.int32())], ["value", "part", "kind"])
+
+    done = checkpointed(ranged.mapInArrow(run, "value string, part int, kind int"))
+    edges = sorted((r.part, r.kind, r.value) for r in done.filter("kind != 1").collect())
+    met = [(a[2],) for a, b in zip(edges, edges[1:]) if a[1] == 2 and b[1] == 0 and b[2].startswith(a[2])]
+    return done.filter("kind = 1").select("value").unionByName(spark.createDataFrame(met, "value string"))
+
+
+def cut_rows(scanned: DataFrame) -> DataFrame:
+    """row_id of the translations that break off, by what was scanned."""
+    values = scanned.filter("value is not null")
+    corpus = values.filter("row_id is null").groupBy("value").agg(F.sum("n").alias("whole"))
+    rests = values.filter("row_id is not null").select("row_id", "value", "missing", "title")
     cut = strict_prefixes(corpus.select("value"), rests.select("value").distinct())
     known = rests.join(cut.withColumn("goes_on", F.lit(True)), "value", "left").join(corpus, "value", "left")
     # A row has a second value if its last word may be part of a connecting one; neither may be whole elsewhere.
@@ -239,12 +289,18 @@ def judged(paragraphs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     return rows.filter("goes_on").filter(never | ((F.col("whole") <= 1) & (F.col("missing") > 0)) | (F.col("missing") >= MISSING)).select("row_id")
 
 
-def found(paragraphs: DataFrame) -> DataFrame:
-    return judged(paragraphs)
+def translated() -> Column:
+    return F.length(F.trim("translated_text")) > 0
+
+
+def found(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
+    """row_id of the translations that break off; ``documents`` give the languages' profiles."""
+    rows = paragraphs.filter(translated()).select("row_id", F.lit(False), "original_text", "translated_text")
+    return cut_rows(checkpointed(scan(rows, learn(paragraphs), language.learn(documents))))
 
 
-def report(paragraphs: DataFrame) -> DataFrame:
+def report(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
     """provider, rows with a translation, cut ones and their share; a null provider is a group of its own."""
-    cut = judged(paragraphs).withColumn("cut", F.lit(1))
-    rows = paragraphs.filter(F.length(F.trim("translated_text")) > 0).select("row_id", "provider").join(cut, "row_id", "left")
+    cut = found(paragraphs, documents).withColumn("cut", F.lit(1))
+    rows = paragraphs.filter(translated()).select("row_id", "provider").join(cut, "row_id", "left")
     return rows.groupBy("provider").agg(F.count("*").alias("translations"), F.count("cut").alias("cut_off")).withColumn("share", F.round(F.col("cut_off") / F.col("translations"), 6))

@@ -27,11 +27,11 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return broken.found(table(spark, d, "paragraphs"))
+    return broken.found(table(spark, d, "paragraphs"), table(spark, d, "documents"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return broken.report(table(spark, d, "paragraphs"))
+    return broken.report(table(spark, d, "paragraphs"), table(spark, d, "documents"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,11 +40,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return defects.found(table(spark, d, "paragraphs"))
+    return defects.found(table(spark, d, "paragraphs"), table(spark, d, "documents"))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return defects.report(table(spark, d, "paragraphs"))
+    return defects.report(table(spark, d, "paragraphs"), table(spark, d, "documents"))
 
 
 def p5_chunks(spark: SparkSession, d: str) -> DataFrame:

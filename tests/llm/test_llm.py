@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import align, bitext, broken, containers, defects, encode, mixing, normalize, pieces, scans, subjects
+from folioflow.llm import align, bitext, broken, containers, defects, encode, language, mixing, normalize, pieces, scans, subjects
 
 TOKENIZER = Path(encode.DEFAULT_RANKS)
 needs_tokenizer = pytest.mark.skipif(not TOKENIZER.exists(), reason="no tokenizer files")
@@ -83,6 +83,20 @@ def world(spark):
     return rows
 
 
+FOREIGN = [
+    ("fr", "La porte est plus difficile à expliquer que le pont et personne ne croyait au message près du port malgré la pluie du soir"),
+    ("de", "Die Tür ist schwerer zu erklären als die Brücke und niemand glaubte an die Nachricht am Hafen trotz des Regens am Abend"),
+    ("es", "La puerta es más difícil de explicar que el puente y nadie creía en el mensaje cerca del puerto a pesar de la lluvia"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, world):
+    rows = [(" EN", r["original_text"]) for r in world] + [("vi", r["translated_text"]) for r in world] + FOREIGN + [(None, "x y"), ("en", None)]
+    rows += [("vi", "Rất tiếc, tôi không thể dịch đoạn văn này vào lúc này."), ("en", "I am sorry, this passage was not translated and must stay untouched, outside what we may handle, and there was more of it that we had.")]
+    return spark.createDataFrame(rows, "lang string, text string")
+
+
 @pytest.fixture(scope="module")
 def lexicon(spark, world):
     return bitext.learn(paras(spark, world))
@@ -92,7 +106,7 @@ def test_lexicon_knows_nouns(lexicon):
     assert {"đèn lồng", "chiếc đèn"} <= set(lexicon.entries["lantern"])
 
 
-def test_broken_translations(spark, world):
+def test_broken_translations(spark, world, docs):
     cut = [
         {"original_text": "The lantern is harder to explain than the river.", "translated_text": "Chiếc đèn lồng khó giải th"},
         {"original_text": "The river is harder to explain than the old bridge.", "translated_text": "Dòng sông khó giải thích hơn cây"},
@@ -105,10 +119,10 @@ def test_broken_translations(spark, world):
         {"translated_text": "  ", "original_text": "The river."},
     ]
     df = paras(spark, world + cut + whole)
-    assert sorted(r.row_id for r in broken.found(df).collect()) == [400, 401, 402]
-    rep = broken.report(df).collect()[0]
+    assert sorted(r.row_id for r in broken.found(df, docs).collect()) == [400, 401, 402]
+    rep = broken.report(df, docs).collect()[0]
     assert (rep.cut_off, rep.translations) == (3, 405)
-    assert broken.found(df.limit(0)).count() == 0
+    assert broken.found(df.limit(0), docs).count() == 0
 
 
 def test_strict_prefixes_equal_brute_force(spark):
@@ -146,7 +160,7 @@ def test_sentences_end_before_white_space():
     assert [text[a:b] for a, b in bitext.sentences(text)] == ["One 3.5 is.", "Two…", "Three?!", "four"]
 
 
-def test_defects(spark, world):
+def test_defects(spark, world, docs):
     o = "The lantern is harder to explain than the river."
     refusals = [{"original_text": f"{sentence(random.Random(i))[0]}", "translated_text": "Rất tiếc, tôi không thể dịch đoạn này vào lúc này."} for i in range(4)]
     odd = [
@@ -154,11 +168,11 @@ def test_defects(spark, world):
         {"original_text": "f(x) = 3", "translated_text": "f(x) = 3"}, {"original_text": o, "translated_text": "La lanterne est plus difficile à expliquer que la rivière et le pont."},
         {"original_text": o, "translated_text": "孩子们沿着河岸走了很久。"}, {"original_text": o, "translated_text": "N/A", "tag": "img"}, {"original_text": o, "translated_text": "", "status": "pending"}, {"original_text": None, "translated_text": None},
     ]
-    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + odd)).collect()}
+    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + odd), docs).collect()}
     assert got == {400: "refusal", 401: "refusal", 402: "refusal", 403: "refusal", 404: "empty", 405: "empty", 406: "copy", 408: "wrong_language", 409: "wrong_language"}
 
 
-def test_refusals_count_by_any_shingle_of_their_openings(spark, world):
+def test_phrases_of_a_template_show_refusals_with_other_openings(spark, world, docs):
     rnd = random.Random(5)
 
     def opening(shared):
@@ -166,21 +180,67 @@ def test_refusals_count_by_any_shingle_of_their_openings(spark, world):
         at = rnd.randint(0, 9)
         return " ".join([*fill[:at], shared, *fill[at:]])
 
-    shared = ["this passage must stay untouched", "không được phép xử lý", "outside what i may handle", "nằm ngoài phạm vi hỗ"]
-    refusals = [{"original_text": sentence(random.Random(i))[0] + f" {i}", "translated_text": opening(x)} for i, x in enumerate(shared * 3)]
+    shared = ["this passage must stay untouched", "không thể dịch đoạn văn", "outside what i may handle", "tôi không dịch đoạn này"]
+    alike = [{"original_text": sentence(random.Random(i))[0] + f" {i} {k}", "translated_text": f"dona teka mira {x}."} for i, x in enumerate(shared) for k in range(3)]
+    refusals = alike + [{"original_text": sentence(random.Random(i))[0] + f" {i}", "translated_text": opening(x)} for i, x in enumerate(shared * 3)]
     alone = [{"original_text": sentence(random.Random(99))[0], "translated_text": opening("that recurs in two only")} for _ in range(2)]
-    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + alone)).collect()}
-    assert got == dict.fromkeys(range(400, 412), "refusal")
+    known = docs.unionByName(spark.createDataFrame([("en", r["translated_text"]) for r in refusals + alone], docs.schema))
+    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + alone), known).collect()}
+    assert {k: got.get(k) for k in range(400, 424)} == dict.fromkeys(range(400, 424), "refusal")
+    assert "refusal" not in {got.get(424), got.get(425)}
+
+
+def test_openings_are_grouped_as_by_brute_force(spark):
+    rnd = random.Random(8)
+    heads = sorted({" ".join(rnd.choice("ab") for _ in range(rnd.randint(5, 9))) for _ in range(120)})
+    cut = {h: frozenset(" ".join(h.split()[i : i + 5]) for i in range(len(h.split()) - 4)) for h in heads}
+    links = defects._linked(spark.createDataFrame([(h, list(s)) for h, s in cut.items()], "opening string, shingles array<string>"))
+    for r in links.collect():
+        assert len(cut[r.a] & cut[r.b]) >= 0.8 * len(cut[r.a] | cut[r.b])
+    got = {r.opening: r.group for r in defects._groups(links).collect()}
+    parent = {h: h for h in heads}
+
+    def root(h):
+        while parent[h] != h:
+            h = parent[h]
+        return h
+
+    for a in heads:
+        for b in heads:
+            if len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {h: root(h) for h in heads}
+
+
+def test_languages_without_documents_are_told_from_the_target(spark, docs):
+    p = language.learn(docs)
+    assert p.languages([language.spoken(bitext.WORD.findall(x)) for x in ("Chiếc đèn lồng khó giải thích hơn dòng sông.", "Nobody believed in the letter.", "Nikt nie wiedział, dlaczego latarnia zgasła.", "孩子们沿着河岸走了很久。", "Anna 12", "")])[:2] == ["vi", "en"]
+    odd = ["Nikt nie wiedział, dlaczego latarnia zgasła w nocy.", "Nessuno sapeva perché il faro si fosse spento nella notte.", "1872年的记录没有提到这封信。", "E = mc 2", ""]
+    got = p.languages([language.spoken(bitext.WORD.findall(x)) for x in odd])
+    assert all(x not in ("vi", "") for x in got[:3]) and got[4] == ""
+    assert language.learn(docs.limit(0)).languages(["một hai ba bốn", ""]) == ["other", ""]
+
+
+def test_replies_mostly_in_another_language(spark, world, docs):
+    o = "Anna explained the lantern. Nobody believed in the compiler near the harbor. A message explained the old bridge."
+    odd = [
+        "Nobody in the town knew why it had more of it. There was not a single word for that. Chiếc đèn lồng khó giải thích hơn dòng sông.",
+        "Anna nie wiedziała, dlaczego latarnia zgasła w nocy, a most był zamknięty.", "Anna non sapeva perché il faro si fosse spento nella notte del mercato.",
+        "Anna giải thích về chiếc đèn lồng. Không ai tin vào trình biên dịch gần bến cảng. Einer war da.",
+    ]
+    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + [{"original_text": o, "translated_text": t} for t in odd]), docs).collect()}
+    assert [got.get(400 + i) for i in range(1, 4)] == ["wrong_language", "wrong_language", None]
 
 
-def test_refusals_that_name_their_original_and_copies_with_many_marks_are_found(spark, world):
+def test_refusals_that_name_their_original_and_copies_with_many_marks_are_found(spark, world, docs):
     o = "Anna: the lantern is harder to explain than the river. Nobody believed in the compiler near the harbor. A message explained the old bridge and the letter."
     refusals = [{"original_text": f"{o} {'x' * i}", "translated_text": "Rất tiếc, tôi không thể dịch đoạn văn nói về Anna vào lúc này."} for i in range(3)]
     cut = {"original_text": o, "translated_text": "Rất tiếc, tôi không thể dịch đoạn văn nói về Anna"}
     marked = "The lantern of ấầẩẫậ ấầẩẫậ is harder to explain than the river."
     mixed = "It was the lantern that the river had, and there was more of it. Ấầẩẫậ ấầẩẫậ."
     odd = [cut, {"original_text": marked, "translated_text": marked.upper()}, {"original_text": o, "translated_text": f"{mixed} Chiếc đèn lồng khó giải thích hơn dòng sông."}]
-    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + odd)).collect()}
+    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + refusals + odd), docs).collect()}
     assert {k: got.get(k) for k in range(400, 406)} == {400: "refusal", 401: "refusal", 402: "refusal", 403: got.get(403), 404: "copy", 405: "wrong_language"}
     assert got.get(403) != "refusal"
 
