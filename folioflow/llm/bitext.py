@@ -64,16 +64,21 @@ def pairs(tokens: list[str]) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """entries: source word or pair of words -> {target word pair: Dice}; idf: source word -> weight."""
+    """entries: source word or pair of words -> {target word pair: Dice}; idf: source word -> weight; ratio: characters of a translation for one of its original."""
 
     entries: dict[str, dict[str, float]] = field(default_factory=dict)
     idf: dict[str, float] = field(default_factory=dict)
     syllables: frozenset[str] = frozenset()
+    ratio: float = 1.0
 
     def weight(self, word: str) -> float:
         return self.idf.get(word, 0.0)
 
 
+#: Names of the sums of lengths among the counts; no pair of words has one.
+_SOURCE_LENGTH, _TARGET_LENGTH = "\x00source", "\x00target"
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """(s, t, n): joint counts of source words and target pairs, and their own with a null on the other side."""
 
@@ -94,6 +99,8 @@ def _counts(rows: DataFrame) -> DataFrame:
                 joint.update((a, "") for a in s)
                 joint.update(("", b) for b in p)
                 joint[("", "")] += 1
+                joint[("", _SOURCE_LENGTH)] += len(o)
+                joint[("", _TARGET_LENGTH)] += len(t)
             if len(joint) > 1_000_000:
                 yield _frame(joint)
                 joint = Counter()
@@ -112,15 +119,15 @@ def learn(paragraphs: DataFrame) -> Lexicon:
     rows = paragraphs.filter(F.col("status").isin("done", "edited") & (F.col("translated_text") != F.col("original_text")))
     rows = rows.filter(o.rlike(one) & t.rlike(one)).select(o.alias("o"), t.alias("t"))
     counts = checkpointed(_counts(rows))
-    total = counts.filter("s = '' and t = ''").collect()
-    n = total[0].n if total else 0
+    sums = {r.t: r.n for r in counts.filter((F.col("s") == "") & F.col("t").isin("", _SOURCE_LENGTH, _TARGET_LENGTH)).collect()}
+    n = sums.get("", 0)
     least = max(MIN_COUNT, math.ceil(n * MIN_SHARE))
     kept = counts.filter(F.col("n") >= least)
     joint = kept.filter("s != '' and t != ''")
     src = kept.filter("s != '' and t = ''").select("s", F.col("n").alias("ns"))
     tgt = kept.filter("s = '' and t != ''").select("t", F.col("n").alias("nt"))
     strong = joint.join(src, "s").join(tgt, "t").withColumn("dice", 2 * F.col("n") / (F.col("ns") + F.col("nt"))).filter(F.col("dice") >= MIN_DICE)
-    lexicon = Lexicon()
+    lexicon = Lexicon(ratio=sums.get(_TARGET_LENGTH, 1) / max(1, sums.get(_SOURCE_LENGTH, 1)) or 1.0)
     for r in strong.select("s", "t", "dice").collect():
         lexicon.entries.setdefault(r.s, {})[r.t] = r.dice
     for r in src.collect():

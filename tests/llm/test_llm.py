@@ -148,6 +148,31 @@ def test_alignment_orders_omissions_and_mergers():
     assert align.align(None, "x", lexicon) == [] and align.align("a.", " ", lexicon) == []
 
 
+def test_chains_keep_to_the_slope_and_leave_noise():
+    rnd = random.Random(4)
+    line = [(float(x), rnd.uniform(-8, 8), 2.0, i) for i, x in enumerate(range(0, 400, 20))]
+    moved = [(float(x), 900 + rnd.uniform(-8, 8), 2.0, 100 + i) for i, x in enumerate(range(100, 200, 20))]
+    noise = [(rnd.uniform(0, 400), off, 2.0, 200 + i) for i, off in enumerate((200.0, 350.0, 500.0, -300.0))]
+    got = align.chains(sorted(line + moved + noise), 1.0, 100.0, [20.0, 40.0])
+    assert sorted(sorted(p[3] for p in c) for c in got) == [list(range(20)), list(range(100, 105))]
+    backwards = sorted((float(x), -2.0 * x, 1.2, x) for x in range(0, 400, 20))
+    assert align.chains(backwards, 1.0, 100.0, [20.0, 40.0]) == []
+    assert not align._keeps_slope(backwards, 1.0, 60.0) and align._keeps_slope(line, 1.0, 20.0)
+
+
+def test_a_list_of_the_same_words_backwards_is_no_translation(monkeypatch):
+    low = "anvil birch cedar drum ember flint grove heron inlet jetty".split()
+    lexicon = bitext.Lexicon({w: {f"{w}o {w}a": 1.0} for w in low}, dict.fromkeys(low, 2.0))
+    fill = " and many others of that town "
+    o, t = fill.join(low) + ".", fill.join(f"{w}o {w}a" for w in low) + "."
+    assert align.align(o, t, lexicon) == [(0, 0)]
+    back = fill.join(f"{w}o {w}a" for w in low[::-1]) + "."
+    assert align.align(o, back, lexicon) == []
+    monkeypatch.setattr(align, "RESIDUALS", (1e9,))
+    monkeypatch.setattr(align, "STRAY", 1e9)
+    assert align.align(o, back, lexicon) == [(0, 0)]
+
+
 def test_a_moved_sentence_keeps_its_points_for_often_repeated_names():
     n = 100  # every name is as frequent; the first sentence is the last of the translation
     source = ["Anna Berta Carl."] + [f"Anna Berta Carl {1000 + i} {3000 + i}." for i in range(n)]
