@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bitext import Lexicon, match, plain, sentences
 
 #: Residual of a chain by the mean length of a translated sentence, from narrow to wide; reach by that of an original one.
-RESIDUALS, REACH = (0.25, 0.5, 0.75), 1.0
+RESIDUALS, REACH = (0.25, 0.5, 0.75), 2.0
 #: How far a chain's slope may stray, as a share of the languages'.
 STRAY = 0.5
 LEAST, LEAST_SHARE, NEAR = 3.0, 0.2, 4
