@@ -75,6 +75,26 @@ def math_unicode(c: Column) -> Column:
     return F.concat(F.lit('<span class="math-fallback">'), _rewrites(c, STRUCTURES + SCRIPTS), F.lit("</span>"))
 
 
+#: Formulas between dollar signs: a block, or inline; fixed value.
+FORMULA = r"\$\$[^$]+\$\$|\$[^$\n]+\$"
+
+
+def formula_name(c: Column) -> Column:
+    return F.concat(F.lit("math_"), F.substring(F.md5(F.concat(c, F.lit("_250"))), 1, 12))
+
+
+def math_epub(c: Column) -> Column:
+    """The text with each formula as the image that an EPUB holds of it, named by its content; the formula is its other text."""
+    formulas = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({FORMULA})"), F.lit(1)))
+
+    def image(f: Column) -> Column:
+        inner = F.trim(F.regexp_replace(f, r"^\$+|\$+$", ""))
+        kind = F.when(f.startswith("$$"), "block").otherwise("inline")
+        return F.concat(F.lit('<img class="math-'), kind, F.lit('" src="images/'), formula_name(inner), F.lit('.png" alt="'), html_escape(inner), F.lit('"/>'))
+
+    return F.aggregate(F.array_sort(formulas, lambda a, b: F.length(b) - F.length(a)), c, lambda acc, f: F.replace(acc, f, image(f)))
+
+
 def math_docx(c: Column) -> Column:
     """LaTeX to plain text: structures first, then symbols, then dollar signs away."""
     c = _rewrites(F.replace(c, F.lit("\\$"), F.lit("$")), STRUCTURES)
@@ -136,7 +156,7 @@ def looks_like_prose(c: Column) -> Column:
 
 def is_section_name(c: Column) -> Column:
     k = match_key(c)
-    return k.isin(*SECTION_NAMES) | k.rlike(r"^appendix\s+[a-z0-9]+$")
+    return k.isin(*SECTION_NAMES) | k.rlike(r"^appendix\s+[a-z0-9]")
 
 
 def heading_level(c: Column) -> Column:

@@ -67,6 +67,17 @@ def missing_pages(pages: DataFrame, start: int | None = None, end: int | None =
     return wanted.select("project_id", "page").join(read, ["project_id", "page"], "left_anti").distinct()
 
 
+def cache_appended(cache: DataFrame, pages: DataFrame) -> DataFrame:
+    """The cache (project_id, page, text) with the pages that are new to it and have text; the first of repeated pages stays."""
+    new = pages.filter(F.length(strip(F.col("text"))) > 0).groupBy("project_id", "page").agg(F.min("text").alias("text"))
+    return cache.unionByName(new.join(cache.select("project_id", "page"), ["project_id", "page"], "left_anti"))
+
+
+def restarted(paragraphs: DataFrame) -> DataFrame:
+    """All rows as before their first translation: what a forced run begins with."""
+    return paragraphs.withColumn("status", F.lit("pending")).withColumn("translated_text", F.lit(""))
+
+
 def project_type(document_type: Column, source_format: Column) -> Column:
     """The type, or for old projects paper for pdf and novel for the rest."""
     return F.when(F.coalesce(document_type, F.lit("")) != "", document_type).when(source_format == "pdf", "paper").otherwise("novel")
@@ -138,14 +149,16 @@ def merged(paragraphs: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def duplicate_matches(paragraphs: DataFrame, elements: DataFrame) -> DataFrame:
-    """Rows without a place of their own, matched with elements of equal text; repeated texts are taken in order.
+    """Rows without a place of their own, matched with elements of equal text that no row has taken; repeated texts are taken in order.
 
     elements: project_id, source_doc, pos, text.
     """
+    located = F.coalesce(F.col("source_element_index") >= 0, F.lit(False))
+    taken = paragraphs.filter(located).select("project_id", "source_doc", F.col("source_element_index").alias("pos"))
     nth = F.row_number().over(Window.partitionBy("project_id", "source_doc", "_t").orderBy("para_index", "row_id"))
-    rows = paragraphs.withColumn("_t", squeeze(F.col("original_text"))).withColumn("_n", nth)
+    rows = paragraphs.filter(~located).withColumn("_t", squeeze(F.col("original_text"))).withColumn("_n", nth)
     eth = F.row_number().over(Window.partitionBy("project_id", "source_doc", "_t").orderBy("pos"))
-    els = elements.withColumn("_t", squeeze(F.col("text"))).withColumn("_n", eth)
+    els = elements.join(taken, ["project_id", "source_doc", "pos"], "left_anti").withColumn("_t", squeeze(F.col("text"))).withColumn("_n", eth)
     return rows.join(els, ["project_id", "source_doc", "_t", "_n"]).select("project_id", "source_doc", "row_id", "pos")
 
 
@@ -201,11 +214,21 @@ def paper_flags(projects: DataFrame, chapters: DataFrame) -> DataFrame:
     return joined.select("project_id", flag.alias("is_paper"))
 
 
-def output_titles(projects: DataFrame, bilingual: bool = False) -> DataFrame:
-    """The title of an export: bilingual, of a Vietnamese original, or translated."""
-    original = (F.col("document_type") == "textbook") | F.lower("title").contains("giáo trình") | F.lower("author").contains("bộ giáo dục")
+def given_in_translation(paragraphs: DataFrame, chapters: DataFrame, rows: int = 10) -> DataFrame:
+    """project_id of the books whose first chapter's first rows have translations, all equal to their originals."""
+    first = chapters.groupBy("project_id").agg(F.min_by("chapter_id", F.struct("chapter_order", "chapter_id")).alias("chapter_id"))
+    w = Window.partitionBy("project_id").orderBy("para_index", "para_id")
+    head = paragraphs.join(first, ["project_id", "chapter_id"], "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows)
+    said = head.filter(F.length(F.coalesce("translated_text", F.lit(""))) > 0)
+    return said.groupBy("project_id").agg(F.every(F.coalesce(F.col("original_text") == F.col("translated_text"), F.lit(False))).alias("_same")).filter("_same").select("project_id")
+
+
+def output_titles(projects: DataFrame, same: DataFrame, bilingual: bool = False) -> DataFrame:
+    """The title of an export: bilingual, of a Vietnamese original (by type, title, author, or ``same`` texts), or translated."""
+    rows = projects.join(same.select("project_id", F.lit(True).alias("_same")), "project_id", "left")
+    original = (F.col("document_type") == "textbook") | F.lower("title").contains("giáo trình") | F.lower("author").contains("bộ giáo dục") | F.coalesce("_same", F.lit(False))
     title = F.concat("title", F.lit(" (Song Ngữ Anh - Việt)")) if bilingual else F.when(F.coalesce(original, F.lit(False)), F.col("title")).otherwise(F.concat("title", F.lit(" (Bản Dịch Tiếng Việt)")))
-    return projects.select("project_id", title.alias("output_title"))
+    return rows.select("project_id", title.alias("output_title"))
 
 
 #: Phrases of licences and permissions; fixed values.
@@ -231,21 +254,31 @@ SPEECH_VERBS = "said|asked|replied|whispered|shouted|muttered|cried|sighed|nodde
 NO_NAMES = ("He", "She", "It", "They", "The", "One", "Someone", "Nobody", "Who", "What", "Then", "There")
 
 
+def first_chapters(paragraphs: DataFrame, chapters: DataFrame, n: int = 8) -> DataFrame:
+    """Rows of each book's first ``n`` chapters, with the chapter's place: where names are looked for."""
+    w = Window.partitionBy("project_id").orderBy("chapter_order", "chapter_id")
+    kept = chapters.withColumn("chapter_place", F.row_number().over(w)).filter(F.col("chapter_place") <= n)
+    return paragraphs.join(kept.select("project_id", "chapter_id", "chapter_place"), ["project_id", "chapter_id"])
+
+
 def name_hits(paragraphs: DataFrame) -> DataFrame:
-    """Words of 3 to 16 letters before or after a verb of speech, one row a hit, capitalised."""
+    """Words of 3 to 16 letters after (side 0) or before (1) a verb of speech, one row a hit, capitalised, with its place in the row."""
     after = F.regexp_extract_all("original_text", F.lit(rf"(?i)(?:{SPEECH_VERBS})\s+([A-Z][a-z]{{2,15}})"), F.lit(1))
     before = F.regexp_extract_all("original_text", F.lit(rf"(?i)([A-Z][a-z]{{2,15}})\s+(?:{SPEECH_VERBS})"), F.lit(1))
-    hits = paragraphs.select("project_id", F.explode(F.concat(F.coalesce(after, F.array().cast("array<string>")), F.coalesce(before, F.array().cast("array<string>")))).alias("w"))
+    none = F.array().cast("array<string>")
+    place = [c for c in ("chapter_place", "para_index", "row_id") if c in paragraphs.columns]
+    each = F.concat(F.transform(F.coalesce(after, none), lambda w, i: F.struct(F.lit(0).alias("side"), i.alias("at"), w.alias("w"))), F.transform(F.coalesce(before, none), lambda w, i: F.struct(F.lit(1).alias("side"), i.alias("at"), w.alias("w"))))
+    hits = paragraphs.select("project_id", *place, F.explode(each).alias("h")).select("project_id", *place, "h.*")
     name = F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.substring("w", 2, 100)))
-    return hits.select("project_id", name.alias("name")).filter(~F.col("name").isin(*NO_NAMES))
+    return hits.select("project_id", F.struct(*place, "side", "at").alias("place"), name.alias("name")).filter(~F.col("name").isin(*NO_NAMES))
 
 
 def speaker_names(paragraphs: DataFrame) -> DataFrame:
-    return name_hits(paragraphs).groupBy("project_id", "name").agg(F.count("*").alias("hits"))
+    return name_hits(paragraphs).groupBy("project_id", "name").agg(F.count("*").alias("hits"), F.min("place").alias("first_seen"))
 
 
 def top_speakers(names: DataFrame, known: DataFrame, k: int = 12, least: int = 2) -> DataFrame:
-    """The k most frequent names of a project, then those of at least ``least`` hits that the glossary lacks."""
-    w = Window.partitionBy("project_id").orderBy(F.desc("hits"), "name")
+    """The k most frequent names of a project (ties: first seen), then those of at least ``least`` hits that the glossary lacks."""
+    w = Window.partitionBy("project_id").orderBy(F.desc("hits"), "first_seen")
     top = names.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).filter(F.col("hits") >= least)
     return top.join(known.select(F.lower("name").alias("_k")).distinct(), F.lower("name") == F.col("_k"), "left_anti").select("project_id", "name", "hits")

@@ -168,6 +168,22 @@ def resolved_replies(keys: list[str], replies: DataFrame, expected: DataFrame) -
     return marked.withColumn("method", F.lit("marker")).unionByName(fill.withColumn("method", F.lit("position"))).join(expected.select(*keys, "para_id"), [*keys, "para_id"], "left_semi")
 
 
+#: Headings of the parts of a request; fixed values.
+CONTEXT_HEADING = "=== NGỮ CẢNH CÁC ĐOẠN LIỀN TRƯỚC (ĐỂ LIỀN MẠCH CẢM XÚC VÀ XƯNG HÔ) ==="
+ROWS_HEADING = "=== CÁC ĐOẠN CẦN DỊCH (HÃY DỊCH TỪNG ĐOẠN VÀ GIỮ MÃ ĐÁNH DẤU [[[P_id]]]) ==="
+
+
 def glossary_block(style: Column, characters: Column, terms: Column, custom: Column) -> Column:
     """Parts of the style sheet that are not empty, a line each."""
     return F.concat_ws("\n", style, F.nullif(characters, F.lit("")), F.nullif(terms, F.lit("")), F.nullif(custom, F.lit("")))
+
+
+def requests(prompts: DataFrame, plan: DataFrame, glossaries: DataFrame) -> DataFrame:
+    """The whole request of each chunk: glossary, context before it (if there is any), marked rows.
+
+    prompts: keys, prompt; plan: keys, context_text; glossaries: project_id, block.
+    """
+    keys = [*CHAPTER, "chunk_no"]
+    rows = prompts.join(plan.select(*keys, "context_text"), keys).join(glossaries.select("project_id", "block"), "project_id", "left")
+    context = F.when(F.coalesce("context_text", F.lit("")) != "", F.concat(F.lit(CONTEXT_HEADING + "\n"), "context_text", F.lit("\n\n"))).otherwise("")
+    return rows.select(*keys, F.concat(F.coalesce("block", F.lit("")), F.lit("\n\n"), context, F.lit(ROWS_HEADING + "\n"), "prompt").alias("request"))

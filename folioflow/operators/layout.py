@@ -6,16 +6,27 @@ Every theta join carries (doc, page), so it is a hash join with a residual filte
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.text import SECTION_NAMES, looks_like_prose, match_key
+from ..functions.text import is_section_name, looks_like_prose, match_key, squeeze
 
+#: The size of a page whose own is not known.
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 
 
+def with_sizes(rows: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """rows with the width and height of their pages. sizes: doc, page, width, height."""
+    if sizes is None:
+        return rows.withColumn("width", F.lit(PAGE_WIDTH)).withColumn("height", F.lit(PAGE_HEIGHT))
+    out = rows.join(sizes.select("doc", "page", "width", "height"), ["doc", "page"], "left")
+    return out.withColumn("width", F.coalesce("width", F.lit(PAGE_WIDTH))).withColumn("height", F.coalesce("height", F.lit(PAGE_HEIGHT)))
+
+
 def lines(spans: DataFrame) -> DataFrame:
     """Lines with text, box, mean size weighted by characters, and whether most characters are bold."""
     n = F.length("text")
@@ -37,19 +48,36 @@ def body_font(spans: DataFrame) -> DataFrame:
     return spans.select("doc").distinct().join(best, "doc", "left").select("doc", F.coalesce("body_size", F.lit(10.0)).alias("body_size"))
 
 
-def margin_texts(spans: DataFrame, pages: int = 2) -> DataFrame:
+def in_margin() -> Column:
+    """A low line in the top or the bottom margin of its page."""
+    return ((F.col("y0") < 80) | (F.col("y0") > F.col("height") - 60)) & (F.col("y1") - F.col("y0") < 25)
+
+
+def margin_key(text: Column) -> Column:
+    return F.trim(F.lower(squeeze(text)))
+
+
+def margin_texts(spans: DataFrame, pages: int = 2, sizes: DataFrame | None = None) -> DataFrame:
     """Texts in the top or bottom margin of at least ``pages`` pages: running headers and footers."""
-    zone = lines(spans).filter(((F.col("y0") < 80) | (F.col("y0") > PAGE_HEIGHT - 60)) & (F.col("y1") - F.col("y0") < 25)).withColumn("key", match_key(F.col("text"))).filter("key != ''")
+    zone = with_sizes(lines(spans), sizes).filter(in_margin()).withColumn("key", margin_key(F.col("text"))).filter("length(key) >= 2")
     return zone.groupBy("doc", "key").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= pages)
 
 
-def reading_order(blocks: DataFrame, width: float = PAGE_WIDTH) -> DataFrame:
+def running_lines(spans: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Lines that are running headers or footers: they lie in a margin, and their text recurs there or is a bare number."""
+    zone = with_sizes(lines(spans), sizes).filter(in_margin()).withColumn("key", margin_key(F.col("text")))
+    known = margin_texts(spans, 2, sizes).select("doc", "key", F.lit(True).alias("recurs"))
+    return zone.join(known, ["doc", "key"], "left").filter(F.col("recurs") | F.col("key").rlike(r"^\d{1,4}$")).select("doc", "page", "line_no")
+
+
+def reading_order(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Places of blocks on two-column pages: bands between full-width blocks, left column before right."""
+    width = F.col("width")
     mid, tol = width / 2, width * 0.08
     w = F.col("x1") - F.col("x0")
     side = F.when(w > width * 0.62, "full").when(F.col("x1") < mid + tol, "left").when(F.col("x0") > mid - tol, "right").otherwise("full")
     page = Window.partitionBy("doc", "page")
-    rows = blocks.withColumn("side", side).withColumn("columns", F.bool_or(F.col("side") == "left").over(page) & F.bool_or(F.col("side") == "right").over(page))
+    rows = with_sizes(blocks, sizes).withColumn("side", side).withColumn("columns", F.bool_or(F.col("side") == "left").over(page) & F.bool_or(F.col("side") == "right").over(page))
     ordered = page.orderBy("y0", "x0", "block_no")
     full = (F.col("side") == "full").cast("int")
     rows = rows.withColumn("band", F.sum(full).over(ordered) * 2 - full)
@@ -89,12 +117,74 @@ def outside_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return blocks.alias("b").join(regions.alias("r"), (F.col("b.doc") == F.col("r.doc")) & (F.col("b.page") == F.col("r.page")) & hit, "left_anti")
 
 
-def noise_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks without margin stamps (tall and narrow), page numbers at the bottom, and rows of single numbers."""
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    stamp = (h > 200) & (w < 40)
-    number = F.trim("text").rlike(r"^\d{1,4}$") & (F.col("y0") > PAGE_HEIGHT - 60)
-    return blocks.filter(~(stamp | number))
+#: Words of blocks that are no text of a paper; fixed values.
+FIRST_PAGE_NOTES = ("conference on", "proceedings", "equal contribution", "nips")
+AXIS_TOKENS, AXIS_WORDS = ("<EOS>", "<pad>"), ("Figure", "Table", "Visual")
+
+
+def _any_in(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+
+
+def noise_blocks(blocks: DataFrame, running: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Blocks without stamps at the left margin, page numbers, notes at the foot of the first page, tokens of axes and running headers.
+
+    running: doc, key (``margin_key``) of texts that recur in margins.
+    """
+    t, low = F.coalesce("text", F.lit("")), F.lower(F.coalesce("text", F.lit("")))
+    stamp = (F.col("x0") < 45) & ((F.col("y1") - F.col("y0") > 120) | low.contains("arxiv:"))
+    number = t.rlike(r"^\s*\d{1,3}\s*$") & (F.col("y0") > F.col("height") - 60)
+    note = (F.col("page") == 0) & (F.col("y0") > F.col("height") - 120) & _any_in(low, FIRST_PAGE_NOTES)
+    axis = _any_in(t, AXIS_TOKENS) & ~_any_in(t, AXIS_WORDS)
+    rows = with_sizes(blocks, sizes).filter(~(stamp | number | note | axis))
+    if running is not None:
+        headers = running.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"))
+        hit = (F.col("doc") == F.col("_doc")) & (margin_key(F.col("text")) == F.col("_key")) & in_margin()
+        rows = rows.join(headers, hit, "left_anti")
+    return rows.select(*blocks.columns)
+
+
+#: Words of first pages that belong to no title, and of affiliations and places that are no authors; fixed values.
+LICENCE_WORDS = ("permission", "attribution", "copyright", "license", "journalistic", "reproduce the tables")
+AFFILIATIONS = (
+    "university", "institute", "department", "research", "laborator", "college", "school", "center", "centre", "campus", "brain", "technolog", "corporation",
+    "inc.", "ltd", "dept", "faculty", "academy", "group", "team", "sciences", "mary", "williamsburg", "virginia", "google", "toronto",
+)
+PLACES = (
+    "usa", "vietnam", "china", "france", "germany", "japan", "canada", "united states", "london", "paris", "california", "new york", "massachusetts",
+    "rio de janeiro", "brazil", "beijing", "tokyo", "singapore", "korea", "australia",
+)
+
+
+def front_spans(spans: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Spans of first pages that may be title or authors, with the role that their words leave open (title, author or none).
+
+    Margins, stamps and blank spans are left out; licences are no titles, affiliations and places no authors.
+    """
+    low = F.lower("text")
+    stamp = (F.col("x0") < 35) & (F.col("y0") > F.col("height") * 0.25)
+    edge = (F.col("y1") < 20) | (F.col("y1") > F.col("height") - 30)
+    rows = with_sizes(spans, sizes).filter((F.col("page") == 0) & (F.trim("text") != "") & ~stamp & ~edge & ~low.contains("arxiv:"))
+    role = F.when(~_any_in(low, LICENCE_WORDS) & (F.col("y0") < F.col("height") * 0.4), "title").when(~_any_in(low, AFFILIATIONS) & ~_any_in(low, PLACES), "author").otherwise("none")
+    return rows.select("doc", "line_no", "x0", "y0", "y1", "text", "size", role.alias("role"))
+
+
+def find_lines(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """The line of each asked text (doc, page, ask_no, text, x0, y0): an equal one, else one that holds it or is held; the nearest by place."""
+    ls = lines(spans).select("doc", "page", "line_no", margin_key(F.col("text")).alias("key"), F.col("x0").alias("lx"), F.col("y0").alias("ly"))
+    a = asked.withColumn("want", margin_key(F.col("text")))
+    near = F.abs(F.col("lx") - F.col("x0")) + F.abs(F.col("ly") - F.col("y0"))
+    both = a.join(ls, ["doc", "page"]).filter(F.col("key").contains(F.col("want")) | F.col("want").contains(F.col("key")))
+    best = F.struct((F.col("key") != F.col("want")).alias("part"), F.coalesce(near, F.lit(0.0)).alias("near"), "line_no")
+    return both.groupBy("doc", "page", "ask_no").agg(F.min_by("line_no", best).alias("line_no"))
+
+
+def table_regions(ruled: DataFrame, captioned: DataFrame) -> DataFrame:
+    """Ruled tables and those that only a caption shows: doc, page, x0, y0, x1, y1, origin. One that a ruled table touches is that one."""
+    cols = ["doc", "page", "x0", "y0", "x1", "y1"]
+    c, r = captioned.alias("b"), ruled.alias("r")
+    own = c.join(r, (F.col("b.doc") == F.col("r.doc")) & (F.col("b.page") == F.col("r.page")) & (_overlap() > 0), "left_anti")
+    return ruled.select(*cols, F.lit("ruled").alias("origin")).unionByName(own.select(*cols, F.lit("caption").alias("origin")))
 
 
 def caption_regions(captions: DataFrame, images: DataFrame, reach: float = 550.0) -> DataFrame:
@@ -125,9 +215,9 @@ def rule_clusters(rules: DataFrame, gap: float = 60.0) -> DataFrame:
     return kept.groupBy("doc", "page", "caption_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("rules"))
 
 
-def title_of(spans: DataFrame) -> DataFrame:
+def title_of(spans: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """The title: spans within 1.5 points of the largest size in the top 40 % of the first page, in bands of 6 points."""
-    top = spans.filter((F.col("page") == 0) & (F.col("y0") < PAGE_HEIGHT * 0.4))
+    top = front_spans(spans, sizes).filter("role = 'title' and length(trim(text)) > 1")
     top = top.withColumn("big", F.max("size").over(Window.partitionBy("doc"))).filter(F.col("size") >= F.col("big") - 1.5)
     key = F.struct((F.bround(F.col("y0") / 6) * 6).alias("band"), "x0", "text")
     return top.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: F.trim(x["text"])), " ").alias("title"))
@@ -166,16 +256,15 @@ def isolated(rows: DataFrame, body: DataFrame, reach: float = 40.0) -> DataFrame
     return gaps.select("doc", "page", "line_no", alone.alias("isolated"))
 
 
-def heading_levels(spans: DataFrame, outline: DataFrame) -> DataFrame:
-    """Level 0 (none), 1 or 2 of each line by outline, numbering, names and typography, the first rule that fits."""
+def heading_levels(spans: DataFrame, outline: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Level 0 (none), 1 or 2 of each line by place, outline, numbering, names and typography, the first rule that fits."""
     rows = lines(spans)
     body = body_font(spans)
     rows = rows.join(outline_levels(rows, outline), ["doc", "page", "line_no"], "left").join(isolated(rows, body), ["doc", "page", "line_no"]).join(body, "doc")
-    head = margin_texts(spans).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.lit(True).alias("running"))
-    rows = rows.join(head, (F.col("doc") == F.col("_doc")) & (match_key(F.col("text")) == F.col("_key")), "left")
+    rows = rows.join(running_lines(spans, sizes).withColumn("running", F.lit(True)), ["doc", "page", "line_no"], "left")
     t = F.trim("text")
     n, prose = F.length(t), looks_like_prose(t)
-    named = match_key(t).isin(*SECTION_NAMES)
+    named = is_section_name(t)
     ratio = F.col("size") / F.col("body_size")
     typo = F.when(ratio >= 1.35, F.when(F.col("bold") | (ratio >= 1.6), 1).otherwise(2)).when((ratio >= 1.1) & F.col("bold"), 1).when((ratio >= 0.95) & F.col("bold") & (n < 80) & ~prose, 2)
     signal = F.col("bold") | (ratio > 1.10)

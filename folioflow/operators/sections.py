@@ -55,3 +55,16 @@ def number_headings(lines: DataFrame) -> DataFrame:
     r = lines.withColumn("next", nxt)
     hit = F.col("line").rlike(r"^\d{1,2}(?:\.\d{1,2})*\.?$") & F.coalesce(F.col("next").rlike(r"^[A-Z]"), F.lit(False))
     return r.filter(hit).select("doc", "block", F.concat("line", F.lit(" "), "next").alias("heading"), F.when(F.col("line").contains("."), 2).otherwise(1).cast("long").alias("level"))
+
+
+def segments(lines: DataFrame, start) -> DataFrame:
+    """lines (doc, pos, line) with section (from 0) and place in it: a section begins at each row of ``start``; sections without content are dropped and the rest renumbered.
+
+    The lines that start sections are no content; what stands before the first start is a section of its own.
+    """
+    w = Window.partitionBy("doc").orderBy("pos")
+    rows = lines.withColumn("_start", F.coalesce(start, F.lit(False))).withColumn("_group", F.sum(F.col("_start").cast("int")).over(w))
+    content = rows.filter(~F.col("_start") & (F.trim("line") != ""))
+    section = F.dense_rank().over(Window.partitionBy("doc").orderBy("_group")) - 1
+    place = F.row_number().over(Window.partitionBy("doc", "_group").orderBy("pos")) - 1
+    return content.select("doc", section.cast("long").alias("section"), place.cast("long").alias("place"), "pos", "line")

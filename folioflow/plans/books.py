@@ -139,7 +139,7 @@ def _classify_sql() -> str:
 c AS (SELECT row_id, line, (CASE WHEN length(line) < 2 THEN NULL WHEN regexp_matches(line, '{T.TOC_LINE}') THEN NULL WHEN length(line) > 90 THEN NULL
   WHEN regexp_matches(line, '{T.LIST_SENTENCE}') AND length(line) > 60 THEN NULL
   WHEN regexp_matches(line, '{T.SUBSECTION}') AND NOT {prose} AND length(line) < 80 AND {ok(T.SUBSECTION)} THEN 2
-  WHEN ({key} IN ({names}) OR regexp_matches({key}, '^appendix\\s+[a-z0-9]+$')) AND NOT {prose} THEN 1
+  WHEN ({key} IN ({names}) OR regexp_matches({key}, '^appendix\\s+[a-z0-9]')) AND NOT {prose} THEN 1
   WHEN regexp_matches(line, '(?i){T.CHAPTER}') THEN 1
   WHEN regexp_matches(line, '{T.NUMBERED}') AND NOT {prose} AND {ok(T.NUMBERED)} THEN 1
   WHEN regexp_matches(line, '{T.ROMAN}') AND NOT {prose} AND length(line) < 80 THEN 1 END)::BIGINT AS level FROM l)
@@ -265,11 +265,29 @@ def _names_known(spark):
     return spark.createDataFrame([("joossa",), ("NEMI",)], "name string")
 
 
-HITS = f"""hits AS (
-  SELECT project_id, unnest(regexp_extract_all(original_text, '(?i)(?:{B.SPEECH_VERBS})\\s+([A-Z][a-z]{{2,15}})', 1)) AS w FROM lp
-  UNION ALL SELECT project_id, unnest(regexp_extract_all(original_text, '(?i)([A-Z][a-z]{{2,15}})\\s+(?:{B.SPEECH_VERBS})', 1)) FROM lp),
-nm AS (SELECT project_id, upper(w[1]) || lower(w[2:]) AS name FROM hits),
-cn AS (SELECT project_id, name, count(*) AS hits FROM nm WHERE name NOT IN ({", ".join(f"'{n}'" for n in B.NO_NAMES)}) GROUP BY ALL)"""
+def _first(spark, d):
+    return B.first_chapters(paras(spark, d), chaps(spark, d))
+
+
+HITS = f"""fc AS (SELECT project_id, chapter_id, row_number() OVER (PARTITION BY project_id ORDER BY chapter_order, chapter_id) AS cp FROM lc QUALIFY cp <= 8),
+fr AS (SELECT lp.project_id, original_text, struct_pack(a := cp, b := para_index, c := row_id) AS place FROM lp JOIN fc USING (project_id, chapter_id)),
+hits AS (
+  SELECT project_id, place, 0 AS side, unnest(regexp_extract_all(original_text, '(?i)(?:{B.SPEECH_VERBS})\\s+([A-Z][a-z]{{2,15}})', 1)) AS w, generate_subscripts(regexp_extract_all(original_text, '(?i)(?:{B.SPEECH_VERBS})\\s+([A-Z][a-z]{{2,15}})', 1), 1) AS nth FROM fr
+  UNION ALL SELECT project_id, place, 1, unnest(regexp_extract_all(original_text, '(?i)([A-Z][a-z]{{2,15}})\\s+(?:{B.SPEECH_VERBS})', 1)), generate_subscripts(regexp_extract_all(original_text, '(?i)([A-Z][a-z]{{2,15}})\\s+(?:{B.SPEECH_VERBS})', 1), 1) FROM fr),
+nm AS (SELECT project_id, upper(w[1]) || lower(w[2:]) AS name, struct_pack(p := place, s := side, t := nth) AS seen FROM hits),
+cn AS (SELECT project_id, name, count(*) AS hits, min(seen) AS seen FROM nm WHERE name NOT IN ({", ".join(f"'{n}'" for n in B.NO_NAMES)}) GROUP BY ALL)"""
+
+
+def _old(spark, d):
+    """Rows with a source document; those of old projects (no document type) have no locator."""
+    old = projs(spark, d).filter("coalesce(document_type, '') = ''").select("project_id", F.lit(True).alias("_old"))
+    p = paras(spark, d).filter("source_doc is not null").join(old, "project_id", "left")
+    return p.withColumn("source_element_index", F.when(F.col("_old"), F.lit(-1)).otherwise(F.col("source_element_index"))).drop("_old")
+
+
+OLD = f"""od AS (SELECT lp.* REPLACE (CASE WHEN project_id IN (SELECT project_id FROM pj WHERE coalesce(document_type, '') = '') THEN -1 ELSE source_element_index END AS source_element_index) FROM lp WHERE source_doc IS NOT NULL),
+tk AS (SELECT project_id, source_doc, source_element_index AS pos FROM od WHERE source_element_index >= 0),
+em AS (SELECT project_id, source_doc, source_element_index AS pos, {ssqueeze('original_text')} AS t FROM lp WHERE source_element_index >= 0 AND source_doc IS NOT NULL)"""
 
 
 def _elements(spark, d):
@@ -277,6 +295,15 @@ def _elements(spark, d):
     return p.filter("source_element_index >= 0 and source_doc is not null").select("project_id", "source_doc", F.col("source_element_index").alias("pos"), F.col("original_text").alias("text"))
 
 
+def _output_title(s, d):
+    same = B.given_in_translation(paras(s, d), chaps(s, d))
+    return B.output_titles(projs(s, d), same).join(B.output_titles(projs(s, d), same, True).withColumnRenamed("output_title", "bilingual_title"), "project_id")
+
+
+SAME = """fs AS (SELECT project_id, arg_min(chapter_id, struct_pack(a := chapter_order, b := chapter_id)) AS chapter_id FROM lc GROUP BY project_id),
+hd AS (SELECT lp.project_id, original_text, translated_text FROM lp JOIN fs USING (project_id, chapter_id) QUALIFY row_number() OVER (PARTITION BY lp.project_id ORDER BY para_index, para_id) <= 10),
+sm AS (SELECT project_id FROM hd WHERE length(coalesce(translated_text, '')) > 0 GROUP BY project_id HAVING bool_and(coalesce(original_text = translated_text, false)))"""
+
 LICENCE = " OR ".join(f"contains(lower(original_text), '{p}')" for p in B.BOILERPLATE)
 
 
@@ -311,8 +338,8 @@ def register_all() -> None:
     register("source_group", lambda s, d: B.group_by_source(paras(s, d), chaps(s, d)), f"WITH {LATEST}, {CHAPTERS} SELECT lp.project_id, coalesce(nullif(source_doc, ''), nullif(doc_name, ''), '') AS source, count(*) AS n_rows, count(*) FILTER ({DONE}) AS done_rows FROM lp LEFT JOIN lc USING (project_id, chapter_id) GROUP BY ALL")
     register("element_substitution", lambda s, d: B.substitutions(paras(s, d)), f"WITH {LATEST} SELECT project_id, source_doc, source_element_index, row_id, {eff()} AS text FROM lp WHERE source_element_index >= 0 AND coalesce(source_doc, '') <> '' QUALIFY row_number() OVER (PARTITION BY project_id, source_doc, source_element_index ORDER BY para_index, row_id) = 1")
     register(
-        "duplicate_match", lambda s, d: B.duplicate_matches(paras(s, d).filter("source_doc is not null"), _elements(s, d)),
-        f"WITH {LATEST}, a AS (SELECT project_id, source_doc, row_id, {ssqueeze('original_text')} AS t, row_number() OVER (PARTITION BY project_id, source_doc, {ssqueeze('original_text')} ORDER BY para_index, row_id) AS n FROM lp WHERE source_doc IS NOT NULL), b AS (SELECT project_id, source_doc, source_element_index AS pos, {ssqueeze('original_text')} AS t, row_number() OVER (PARTITION BY project_id, source_doc, {ssqueeze('original_text')} ORDER BY source_element_index) AS n FROM lp WHERE source_element_index >= 0 AND source_doc IS NOT NULL) SELECT project_id, source_doc, row_id, pos FROM a JOIN b USING (project_id, source_doc, t, n)",
+        "duplicate_match", lambda s, d: B.duplicate_matches(_old(s, d), _elements(s, d)),
+        f"WITH {LATEST}, {PROJECTS}, {OLD}, a AS (SELECT project_id, source_doc, row_id, {ssqueeze('original_text')} AS t, row_number() OVER (PARTITION BY project_id, source_doc, {ssqueeze('original_text')} ORDER BY para_index, row_id) AS n FROM od WHERE source_element_index < 0), b AS (SELECT em.*, row_number() OVER (PARTITION BY project_id, source_doc, t ORDER BY pos) AS n FROM em ANTI JOIN tk USING (project_id, source_doc, pos)) SELECT project_id, source_doc, row_id, pos FROM a JOIN b USING (project_id, source_doc, t, n)",
     )
     register(
         "caption_pairing", lambda s, d: B.caption_pairs(paras(s, d)),
@@ -324,7 +351,7 @@ def register_all() -> None:
     )
     register("title_duplicates", lambda s, d: B.title_duplicates(paras(s, d), chaps(s, d)), f"WITH {LATEST}, {CHAPTERS}, {DUP} SELECT * FROM dp")
     register("paper_flag", lambda s, d: B.paper_flags(projs(s, d), chaps(s, d)), f"WITH {PROJECTS}, {CHAPTERS}, n AS (SELECT project_id, coalesce(bool_or(lower({sstrip('title')}) IN ('abstract', 'tóm tắt')), false) AS named, coalesce(bool_or(lower({sstrip('title')}) = 'phần mở đầu / tiêu đề'), false) AS opened FROM lc GROUP BY ALL) SELECT project_id, CASE WHEN coalesce(document_type, '') <> '' THEN document_type = 'paper' ELSE coalesce(named OR (source_format = 'pdf' AND opened), false) END AS is_paper FROM pj LEFT JOIN n USING (project_id)")
-    register("output_title", lambda s, d: B.output_titles(projs(s, d)).join(B.output_titles(projs(s, d), True).withColumnRenamed("output_title", "bilingual_title"), "project_id"), f"WITH {PROJECTS} SELECT project_id, CASE WHEN coalesce(document_type = 'textbook' OR contains(lower(title), 'giáo trình') OR contains(lower(author), 'bộ giáo dục'), false) THEN title ELSE title || ' (Bản Dịch Tiếng Việt)' END AS output_title, title || ' (Song Ngữ Anh - Việt)' AS bilingual_title FROM pj")
+    register("output_title", _output_title, f"WITH {PROJECTS}, {LATEST}, {CHAPTERS}, {SAME} SELECT project_id, CASE WHEN coalesce(document_type = 'textbook' OR contains(lower(title), 'giáo trình') OR contains(lower(author), 'bộ giáo dục'), false) OR project_id IN (SELECT project_id FROM sm) THEN title ELSE title || ' (Bản Dịch Tiếng Việt)' END AS output_title, title || ' (Song Ngữ Anh - Việt)' AS bilingual_title FROM pj")
     vi = "length(coalesce(" + sstrip("translated_text") + ", '')) > 0"
     register("reader_view", lambda s, d: B.reader_view(paras(s, d)), f"""WITH {LATEST} SELECT project_id, chapter_id, para_id, CASE WHEN coalesce(regexp_matches(lower(tag), '^h[1-6]$'), false) THEN lower(tag) ELSE 'p' END AS element, coalesce(original_text, '') AS en_text, CASE WHEN {vi} THEN translated_text ELSE '[Chưa dịch: "' || substring(coalesce(original_text, ''), 1, 80) || '…"]' END AS vi_text, coalesce(original_text, '') || chr(10) || CASE WHEN {vi} THEN translated_text ELSE '[Đoạn này chưa dịch]' END AS bilingual_text FROM lp""")
     register("export_txt", lambda s, d: B.text_export(paras(s, d), chaps(s, d), projs(s, d), False), _txt_sql(False))
@@ -339,9 +366,9 @@ def register_all() -> None:
     register("math_name", lambda s, d: _formulas(s, d).select("row_id", F.concat(F.lit("math_"), F.substring(F.md5(F.concat("t", F.lit("_250"))), 1, 12)).alias("name")), f"WITH {LATEST}, {FORMULAS} SELECT row_id, 'math_' || substring(md5(t || '_250'), 1, 12) AS name FROM f")
     register("nfc_normalise", lambda s, d: table(s, d, "documents").select("doc_id", T.nfc("text").alias("text")), "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
     register("html_escape", lambda s, d: table(s, d, "documents").select("doc_id", T.html_escape(F.col("text")).alias("text")), f"SELECT doc_id, {_escape_sql('text')} AS text FROM documents")
-    register("name_hits_union", lambda s, d: B.name_hits(paras(s, d)).groupBy("project_id").agg(F.count("*").alias("hits")), f"WITH {LATEST}, {HITS} SELECT project_id, sum(hits)::BIGINT AS hits FROM cn GROUP BY ALL")
-    register("speaker_names", lambda s, d: B.speaker_names(paras(s, d)), f"WITH {LATEST}, {HITS} SELECT * FROM cn")
-    register("speaker_names_topk", lambda s, d: B.top_speakers(B.speaker_names(paras(s, d)), _names_known(s)), f"WITH {LATEST}, {HITS} SELECT project_id, name, hits FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY hits DESC, name) AS rn FROM cn) WHERE rn <= 12 AND hits >= 2 AND lower(name) NOT IN ('joossa', 'nemi')")
+    register("name_hits_union", lambda s, d: B.name_hits(_first(s, d)).groupBy("project_id").agg(F.count("*").alias("hits")), f"WITH {LATEST}, {CHAPTERS}, {HITS} SELECT project_id, sum(hits)::BIGINT AS hits FROM cn GROUP BY ALL")
+    register("speaker_names", lambda s, d: B.speaker_names(_first(s, d)).drop("first_seen"), f"WITH {LATEST}, {CHAPTERS}, {HITS} SELECT project_id, name, hits FROM cn")
+    register("speaker_names_topk", lambda s, d: B.top_speakers(B.speaker_names(_first(s, d)), _names_known(s)), f"WITH {LATEST}, {CHAPTERS}, {HITS} SELECT project_id, name, hits FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY hits DESC, seen) AS rn FROM cn) WHERE rn <= 12 AND hits >= 2 AND lower(name) NOT IN ('joossa', 'nemi')")
     register("chunk_pack", _pack(1000, 12), pack_sql(1000, 12))
     register("chunk_pack_small", _pack(100, 4), pack_sql(100, 4))
     register("chunk_context", lambda s, d: C.contexts(paras(s, d)).select("project_id", "chapter_id", "para_id", F.array_join("context", "\n").alias("context_text")), f"WITH {LATEST} SELECT project_id, chapter_id, para_id, coalesce(context_text, '') AS context_text FROM ({CTX})")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,11 +11,13 @@ from ..functions.math_html import math_html
 from ..operators import books as B
 from ..operators import chunks as C
 from ..sinks import files as S
+from ..session import shared_folder
 from ..sources.html import explode_elements
 from ..streaming import progress as P
 from ..translate.run import StubTranslator, run_prompts
 from . import fixtures as X
 from .books import chaps, paras, projs
+from .layouts import DISTINCT
 from .registry import register
 
 
@@ -48,10 +49,9 @@ def _stub_run(s, d):
 
 def _stream(s, d):
     """The events as a stream, run once into the shared folder, repeated deliveries dropped."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/folioflow_{os.getpid()}"
-    root = f"{base}/feed_{uuid.uuid4().hex}"
+    root = f"{shared_folder(s)}/feed_{uuid.uuid4().hex}"
     P.run_once(P.deduplicated(P.read_events(s, f"{d}/job_events.parquet")), f"{root}/out", f"{root}/offsets")
-    return s.read.parquet(f"{root}/out").select("event_id", "project_id", "chapter_id", "para_id", "level_name", "message")
+    return s.read.parquet(f"{root}/out").select("project_id", "chapter_id", "para_id", "level_name", "message", "event_at")
 
 
 def register_all() -> None:
@@ -60,6 +60,6 @@ def register_all() -> None:
     register("html_heading_sections", _heading_sections)
     register("math_html", lambda s, d: paras(s, d).filter(F.col("original_text").rlike(r"[\\$^=]")).select("row_id", math_html("original_text").alias("html")))
     register("translate_stub_run", _stub_run)
-    register("event_feed_stream", _stream)
+    register("event_feed_stream", _stream, f"WITH {DISTINCT} SELECT project_id, chapter_id, para_id, level_name, message, event_at FROM de")
     register("export_docx", lambda s, d: S.export_files(S.ordered_rows(paras(s, d), chaps(s, d), projs(s, d)), "docx").select("project_id", "file_name", F.length("content").alias("n_bytes")))
     register("export_epub", lambda s, d: S.export_files(S.ordered_rows(paras(s, d), chaps(s, d), projs(s, d)), "epub").select("project_id", "file_name", F.length("content").alias("n_bytes")))

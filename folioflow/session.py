@@ -27,14 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``. A machine's own one is made only for local masters, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if "folder" not in _LOCAL:
+            _LOCAL["folder"] = tempfile.mkdtemp(prefix="folioflow_ckpt_")
+        folder = _LOCAL["folder"]
+    return folder
+
+
+#: The folder of local runs, one a process.
+_LOCAL: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made only where
-    that is unset, as in tests.
+    The folder is the session's ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folioflow_ckpt_"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 from html import escape
 from xml.sax.saxutils import escape as xml
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import effective, output_tag
@@ -119,33 +121,56 @@ def write_texts(documents: DataFrame, path: str) -> None:
     documents.select("document").write.mode("overwrite").text(path)
 
 
-def write_binary(files: DataFrame, path: str) -> list[str]:
-    """FILES to a folder, written by the tasks that hold them, each by a rename."""
+def write_binary(files: DataFrame, uri: str) -> DataFrame:
+    """FILES (file_name, content) to a folder of any file system, written by the tasks that hold them, each by a rename; file_name of each.
+
+    The files are written when the result is read; a lost task writes its files again.
+    """
 
     def save(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
+        store.create_dir(base, recursive=True)
         for pdf in filter(len, it):
             for name, content in zip(pdf["file_name"], pdf["content"]):
-                target = os.path.join(path, name)
-                with open(target + ".part", "wb") as f:
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
                     f.write(bytes(content))
-                os.replace(target + ".part", target)
+                store.move(part, f"{base}/{name}")
             yield pdf[["file_name"]]
 
-    os.makedirs(path, exist_ok=True)
-    return sorted(r.file_name for r in files.mapInPandas(save, "file_name string").collect())
+    return files.select("file_name", "content").mapInPandas(save, "file_name string")
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The whole versions of a table: those whose last write has left its mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(s.getPath().getParent().getName()[1:]) for s in found or ())
+
 
+def append_version(df: DataFrame, root: str, seen: int) -> int:
+    """A new version of a table beside the old ones, made of version ``seen`` (0: of none); its number.
 
-def append_version(df: DataFrame, root: str, version: int) -> None:
-    """A new version of a table beside the old ones; the pointer file changes last, by a rename."""
-    df.write.mode("overwrite").parquet(f"{root}/v{version:06d}")
-    with open(f"{root}/CURRENT.part", "w") as f:
-        f.write(f"v{version:06d}")
-    os.replace(f"{root}/CURRENT.part", f"{root}/CURRENT")
+    A version that has come in the meantime is never overwritten: the caller must read it first.
+    """
+    spark = df.sparkSession
+    newest = max(versions(spark, root), default=0)
+    if newest != seen:
+        raise ValueError(f"version {newest} has come after version {seen}")
+    df.write.mode("errorifexists").parquet(f"{root}/v{seen + 1:06d}")
+    return seen + 1
 
 
-def current_version(spark, root: str) -> DataFrame:
-    with open(f"{root}/CURRENT") as f:
-        return spark.read.parquet(f"{root}/{f.read().strip()}")
+def current_version(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    newest = versions(spark, root)[-1]
+    return spark.read.parquet(f"{root}/v{newest:06d}"), newest
+
+
+def edited(df: DataFrame, running: set[str], project_id: str) -> DataFrame:
+    """The rows to be edited of a project; a running one is locked."""
+    if project_id in running:
+        raise ValueError("the project is running")
+    return df.filter(F.col("project_id") == project_id)
 
 
 def without_project(df: DataFrame, project_id: str, running: set[str] = frozenset()) -> DataFrame:

@@ -134,6 +134,7 @@ def decode(path: str, data: bytes) -> list[tuple]:
             parts = epub_parts(data)
             rows = [(path, kind, p, i, tag, css, text, anchor, None) for p, i, tag, text, anchor, css in parts["elements"]]
             rows += [(path, kind, p or "", i, "spine", "nav" if nav else linear, "", "", None if p else "unresolved spine item") for i, (p, linear, nav) in enumerate(parts["spine"])]
+            rows += [(path, kind, "", 0, k, "", parts[k], "", None) for k in ("title", "author", "cover") if parts.get(k)]
             return rows + [(path, kind, p, i, "toc", f"{'' if up is None else up}/{depth}", title, frag, None) for i, up, depth, title, p, frag in parts["toc"]]
         raise ValueError(f"no decoder for .{kind}")
     except Exception as e:
@@ -152,7 +153,11 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(decode(p, bytes(data)), columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    fits = files.filter(F.col("length") <= LIMIT)  # the source skips the others without reading them
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    none = F.lit("")
+    large = files.filter(F.col("length") > LIMIT).select("path", kind, none, F.lit(0), F.lit("error"), none, F.lit(None).cast("string"), none, F.lit("ValueError: the file is too large"))
+    return fits.select("path", "content").mapInPandas(run, SCHEMA).union(large)
 
 
 def ocr_pages(pages: DataFrame, cache: DataFrame, recognise, tries: int = 4) -> DataFrame:

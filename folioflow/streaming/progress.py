@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -26,18 +27,33 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["project_id", "chapter_id", "para_id", "level_name", "message", "event_at"])
 
 
-def hourly_progress(events: DataFrame, lateness: str = "10 days") -> DataFrame:
-    """Events by project and hour of their own time."""
-    rows = events.withColumn("event_at", F.col("event_at").cast("timestamp")).withWatermark("event_at", lateness)
-    return rows.groupBy("project_id", F.window("event_at", "1 hour")).agg(F.count("*").alias("n"))
-
-
 def run_once(df: DataFrame, out: str, checkpoint: str) -> None:
     """Everything that is there now, appended as parquet."""
     q: StreamingQuery = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def commit_batches(df: DataFrame, write, checkpoint: str) -> StreamingQuery:
-    """Calls write(batch, batch_id) for each batch: the place for a commit of a chunk and its roll-up."""
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class Stopped(Exception):
+    """A batch that was not begun, since the run is to stop."""
+
+
+def commit_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, stopped: Callable[[], bool] = lambda: False) -> bool:
+    """Calls write(batch, batch_id) for each batch that is there now; False if the run was stopped before the last.
+
+    ``stopped`` is asked before each batch: a batch that has begun is finished and committed, and
+    one that has not is the first of the next run.
+    """
+
+    def guarded(batch: DataFrame, batch_id: int) -> None:
+        if stopped():
+            raise Stopped
+        write(batch, batch_id)
+
+    query: StreamingQuery = df.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not stopped():
+            raise
+        return False
+    return True

@@ -256,9 +256,12 @@ def test_job_state_refuses_a_second_start():
 
 
 def test_versions_switch_by_pointer(spark, tmp_path):
-    S.append_version(spark.range(3), str(tmp_path), 1)
-    S.append_version(spark.range(5), str(tmp_path), 2)
-    assert S.current_version(spark, str(tmp_path)).count() == 5
+    assert S.append_version(spark.range(3), str(tmp_path), 0) == 1
+    df, seen = S.current_version(spark, str(tmp_path))
+    assert (df.count(), seen) == (3, 1) and S.append_version(spark.range(5), str(tmp_path), seen) == 2
+    with pytest.raises(ValueError):  # another writer was faster
+        S.append_version(spark.range(9), str(tmp_path), seen)
+    assert S.current_version(spark, str(tmp_path))[0].count() == 5
     with pytest.raises(ValueError):
         S.without_project(spark.createDataFrame([("p",)], "project_id string"), "p", {"p"})
 
@@ -267,3 +270,72 @@ def test_rules(spark):
     df = X.UPLOADS.df(spark).select("file_name", rules.upload_verdict(F.col("file_name"), F.col("n_bytes"), F.col("document_type")).alias("v"))
     got = dict(rows(df))
     assert got["a.epub"] == "accepted" and got["c.pdf"] == "incompatible" and got["../h.txt"] == "bad_name" and got["j.PDF"] == "accepted"
+
+
+def test_binaries_reach_a_folder_by_rename(spark, tmp_path):
+    files = spark.createDataFrame([("a.bin", bytearray(b"one")), ("b.bin", bytearray(b"two"))], "file_name string, content binary")
+    assert sorted(r.file_name for r in S.write_binary(files, str(tmp_path / "out")).collect()) == ["a.bin", "b.bin"]
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()} == {"a.bin": b"one", "b.bin": b"two"}
+
+
+def test_a_stopped_run_goes_on_with_the_next_batch(spark, tmp_path):
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+
+    def run(stopped):
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return P.commit_batches(stream, lambda b, n: got.append([r.id for r in b.collect()]), str(tmp_path / "ck"), stopped)
+
+    assert run(lambda: len(got) >= 1) is False and len(got) == 1
+    assert run(lambda: False) is True
+    assert sorted(x for b in got for x in b) == list(range(30))
+
+
+def test_headings_by_place_name_and_outline(spark):
+    got = {(r.doc, r.page, r.line_no): r.level for r in L.heading_levels(X.SPANS.df(spark), X.OUTLINE.df(spark), X.PAGE_SIZES.df(spark)).collect()}
+    assert got["d3", 3, 1] in (1, 2)  # the text of a running header in the body is a heading
+    assert [got["d3", k, 0] for k in range(3)] == [0, 0, 0] and got["d3", 3, 3] == 1
+    running = {tuple(r) for r in L.running_lines(X.SPANS.df(spark), X.PAGE_SIZES.df(spark)).collect()}
+    assert {("d3", k, n) for k in range(3) for n in (0, 9)} <= running and ("d3", 3, 1) not in running and ("d3", 0, 3) not in running
+
+
+def test_blocks_that_are_no_text(spark):
+    left = {(r.doc, r.page, r.block_no) for r in L.noise_blocks(X.BLOCKS.df(spark), L.margin_texts(X.SPANS.df(spark), 2, X.PAGE_SIZES.df(spark)), X.PAGE_SIZES.df(spark)).collect()}
+    gone = {("d1", 1, 2), ("d1", 1, 3), ("d1", 0, 7), ("d1", 1, 4), ("d3", 1, 0)}
+    assert not gone & left and {("d1", 1, 5), ("d3", 3, 1), ("d1", 1, 6)} <= left
+
+
+def test_rules_of_providers(spark):
+    rows = [("gemini", "", "Quota: GenerateRequestsPerDay", None), ("gemini", "gemini-1.5-pro", "retry in 12.7 s", None), ("openai", "", "429", "7"), ("x", "", "perday", None), ("gemini", "m", "", None)]
+    df = spark.createDataFrame(rows, "p string, m string, e string, h string")
+    got = df.select(rules.error_class(F.col("e")), rules.retry_after(F.col("p"), F.col("e"), F.col("h")), rules.model_of(F.col("p"), F.col("m"))).collect()
+    assert [r[0] for r in got] == ["daily", "other", "rate", "daily", "none"]
+    assert [r[1] for r in got] == [35.0, 14.7, 9.0, 25.0, 35.0]
+    assert [r[2] for r in got] == ["gemini-3.5-flash", "gemini-3.1-pro-preview", "gpt-4o-mini", "free-fallback", "m"]
+    assert {r.account: r.status for r in rules.key_status(X.PROBES.df(spark)).collect()} == {"a": "ok", "b": "daily", "c": "rpm", "d": "ok", "e": "error", "f": "error", "g": "rpm"}
+
+
+def test_references_of_packages_are_decoded(spark):
+    rows = ["B%C3%BCcher/a%2Bb+c.xhtml#s%20t", "text/../img/b.png", "..\\c%20d.xhtml", "#only", "bad%zz.xhtml"]
+    got = {r.href: (r.path, r.fragment) for r in O.href_parts(spark.createDataFrame([(h,) for h in rows], "href string")).collect()}
+    assert [got[h] for h in rows] == [("Bücher/a+b+c.xhtml", "s t"), ("img/b.png", ""), ("../c d.xhtml", ""), ("", "only"), ("bad%zz.xhtml", "")]
+
+
+def test_names_of_first_chapters_tie_by_first_seen(spark):
+    chapters = spark.createDataFrame([("p", f"c{i}", i) for i in range(10)], "project_id string, chapter_id string, chapter_order int")
+    text = ["said Zoe. said Adam. said Zoe. said Adam."] + ["x"] * 7 + ["said Late. said Late. said Late."] * 2
+    paras = spark.createDataFrame([("p", f"c{i}", i, i, t) for i, t in enumerate(text)], "project_id string, chapter_id string, para_index int, row_id int, original_text string")
+    names = B.speaker_names(B.first_chapters(paras, chapters))
+    assert {r.name for r in names.collect()} == {"Zoe", "Adam"}
+    assert [r.name for r in B.top_speakers(names, spark.createDataFrame([], "name string"), k=1).collect()] == ["Zoe"]
+
+
+def test_texts_equal_in_the_first_rows_keep_their_title(spark):
+    chapters = spark.createDataFrame([("a", "c0", 0), ("b", "c0", 0), ("b", "c1", 1)], "project_id string, chapter_id string, chapter_order int")
+    rows = [("a", "c0", "p0", 0, "x", "x"), ("a", "c0", "p1", 1, "y", None), ("b", "c0", "p0", 0, "x", "ix"), ("b", "c1", "p0", 0, "x", "x")]
+    paras = spark.createDataFrame(rows, "project_id string, chapter_id string, para_id string, para_index int, original_text string, translated_text string")
+    same = B.given_in_translation(paras, chapters)
+    assert [r.project_id for r in same.collect()] == ["a"]
+    projects = spark.createDataFrame([("a", "T", "x", "novel"), ("b", "T", "x", "novel")], "project_id string, title string, author string, document_type string")
+    assert {r.project_id: r.output_title for r in B.output_titles(projects, same).collect()} == {"a": "T", "b": "T (Bản Dịch Tiếng Việt)"}
