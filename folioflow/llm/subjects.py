@@ -2,7 +2,7 @@
 
 Sentences are the units: a document on two subjects is a mix of sentences on either and of plain
 ones. Features are hashed words and word pairs. Complement naive Bayes on the labelled documents
-gives each subject's first weights (log odds of a feature inside against outside the subject);
+gives each subject's first weights (the negative log of a feature's rate in all text outside the subject);
 expectation-maximization then runs over the sentences of all documents, labelled ones kept to
 their labels and to none, and re-estimates every subject's and the plain text's feature
 distribution. The share and the number of a document's sentences on a subject are calibrated
@@ -18,9 +18,11 @@ classified each; without any label there is no model and no row.
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,21 +30,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, shared_folder
 
 BUCKETS = 1 << 17
 MAX_LABELLED = 20_000
 ROUNDS = 4
+#: Occurrences that smoothing adds, and how often a weight counts: sentences are short, and a word that a subject shares with no other should decide.
+SMOOTH, SCALE = 2.0, 2.0
 LANGUAGES = 32
 _SENTENCE = re.compile("(?<=[.!?\u2026\u3002\uff01\uff1f])\\s+|[\n\r\x0b\f\x85\u2028\u2029]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
 def features(sentence: str) -> list[int]:
     """Hashed words and pairs of a sentence, each once."""
-    words = _WORD.findall(sentence.lower())
-    grams = words + [a + " " + b for a, b in zip(words, words[1:])]
-    return list({zlib.crc32(g.encode()) % BUCKETS for g in grams})
+    h = [_word_hash(w) for w in _WORD.findall(sentence.lower())]
+    return list({x % BUCKETS for x in h} | {(a * 31 + b) % 0xFFFFFFFB % BUCKETS for a, b in zip(h, h[1:])})
 
 
 def encode_documents(documents: DataFrame) -> DataFrame:
@@ -50,16 +58,17 @@ def encode_documents(documents: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            all_ids, all_starts = [], []
+            flat, ends, starts, breaks = [], [0], [], [0]
             for text in b.column(1).to_pylist():
-                ids, starts = [], []
                 for s in _SENTENCE.split(text or ""):
                     if f := features(s):
-                        starts.append(len(ids))
-                        ids += f
-                all_ids.append(ids)
-                all_starts.append(starts)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_starts, pa.list_(pa.int32()))], ["doc_id", "lang", "ids", "starts"])
+                        starts.append(len(flat) - ends[-1])
+                        flat += f
+                ends.append(len(flat))
+                breaks.append(len(starts))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            at = pa.ListArray.from_arrays(pa.array(breaks, pa.int32()), pa.array(starts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids, at], ["doc_id", "lang", "ids", "starts"])
 
     lang = F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce("lang", F.lit(""))))), F.lit(LANGUAGES)).cast("int")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), lang.alias("lang")).mapInArrow(run, "doc_id long, lang int, ids array<int>, starts array<int>")
@@ -85,25 +94,28 @@ def _posteriors(flat: np.ndarray, starts: np.ndarray, weights: np.ndarray, prior
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _counts_schema(k: int) -> str:
-    return "bucket int, " + ", ".join(f"c{i} double" for i in range(k))
+#: Counts as cells: bucket (below 0: of a language), column, number.
+_CELLS = "bucket int, col int, n double"
+#: Expected counts below this are not sent; they are less than a thousandth of an occurrence in a task.
+_FAINT = 1e-3
 
 
 def _sum_counts(partial: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature counts (BUCKETS x k) and, from the buckets below 0, units by language (LANGUAGES x k)."""
-    rows = partial.groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toPandas()
+    cells = partial.groupBy("bucket", "col").agg(F.sum("n").alias("n")).toArrow()  # at most (BUCKETS + LANGUAGES) x k rows
+    bucket, col, n = (cells.column(c).to_numpy() for c in ("bucket", "col", "n"))
     out, units = np.zeros((BUCKETS, k)), np.zeros((LANGUAGES, k))
-    cells = rows[[f"c{i}" for i in range(k)]].to_numpy()
-    at = rows["bucket"].to_numpy()
-    out[at[at >= 0]] = cells[at >= 0]
-    units[-1 - at[at < 0]] = cells[at < 0]
+    own = bucket >= 0
+    out[bucket[own], col[own]] = n[own]
+    units[-1 - bucket[~own], col[~own]] = n[~own]
     return out, units
 
 
 def _emit(counts: np.ndarray, units: np.ndarray, k: int) -> pa.RecordBatch:
-    used, spoken = np.flatnonzero(counts.any(axis=1)), np.flatnonzero(units.any(axis=1))
-    data = np.vstack([units[spoken], counts[used]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([-1 - spoken, used]).astype("int32")), *[pa.array(data[:, i]) for i in range(k)]], ["bucket", *[f"c{i}" for i in range(k)]])
+    at, col = np.nonzero(counts > _FAINT)
+    spoken, of = np.nonzero(units)
+    buckets = np.concatenate([-1 - spoken, at]).astype("int32")
+    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.concatenate([of, col]).astype("int32")), pa.array(np.concatenate([units[spoken, of], counts[at, col]]))], ["bucket", "col", "n"])
 
 
 def _expect(encoded: DataFrame, weights: np.ndarray, prior: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,52 +138,41 @@ def _expect(encoded: DataFrame, weights: np.ndarray, prior: np.ndarray, k: int)
                 counts[:, i] += np.bincount(flat, weights=np.repeat(p[:, i], length), minlength=BUCKETS)
         yield _emit(counts, units, k)
 
-    return _sum_counts(encoded.mapInArrow(run, _counts_schema(k)), k)
+    return _sum_counts(encoded.mapInArrow(run, _CELLS), k)
 
 
-def _label_counts(encoded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts of all labelled documents (column 0) and of those labelled with each subject."""
+def _first_counts(encoded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature counts and units of all labelled documents (column 0) and of those with each subject; feature counts of all documents by language."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, units = np.zeros((BUCKETS, k)), np.zeros((LANGUAGES, k))
+        counts, units = np.zeros((BUCKETS, k + LANGUAGES)), np.zeros((LANGUAGES, k + LANGUAGES))
         for b in it:
             flat, starts, doc = _flat(b)
             if not len(starts):
                 continue
             length = np.diff(np.append(starts, len(flat)))
+            lang = b.column("lang").to_numpy()[doc]
+            spoken = flat.astype("int64") * LANGUAGES + np.repeat(lang, length)
+            counts[:, k:] += np.bincount(spoken, minlength=BUCKETS * LANGUAGES).reshape(BUCKETS, LANGUAGES)
             label = np.asarray(b.column("label").to_numpy(zero_copy_only=False))[doc]
             for i in range(k):
-                has = ((label >> i) & 1).astype("float64") if i else np.ones(len(doc))
+                has = (((label >> i) & 1) if i else (label > 0)).astype("float64")
                 if has.any():
-                    np.add.at(units[:, i], b.column("lang").to_numpy()[doc], has * length)
+                    np.add.at(units[:, i], lang, has * length)
                     counts[:, i] += np.bincount(flat, weights=np.repeat(has, length), minlength=BUCKETS)
-        yield _emit(counts, units, k)
-
-    return _sum_counts(encoded.filter("label > 0").mapInArrow(run, _counts_schema(k)), k)
-
-
-def _language_counts(encoded: DataFrame) -> np.ndarray:
-    """Feature counts by language (BUCKETS x LANGUAGES)."""
+        yield _emit(counts, units, k + LANGUAGES)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS * LANGUAGES)
-        for b in it:
-            flat, starts, doc = _flat(b)
-            if len(starts):
-                spoken = np.repeat(b.column("lang").to_numpy()[doc], np.diff(np.append(starts, len(flat))))
-                counts += np.bincount(flat.astype("int64") * LANGUAGES + spoken, minlength=BUCKETS * LANGUAGES)
-        yield _emit(counts.reshape(BUCKETS, LANGUAGES), np.zeros((LANGUAGES, LANGUAGES)), LANGUAGES)
-
-    return _sum_counts(encoded.mapInArrow(run, _counts_schema(LANGUAGES)), LANGUAGES)[0]
+    counts, units = _sum_counts(encoded.mapInArrow(run, _CELLS), k + LANGUAGES)
+    return counts[:, :k], units[:, :k], counts[:, k:]
 
 
 def _complement_weights(inside: np.ndarray, everything: np.ndarray, spoken: np.ndarray, units: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
-    """Complement naive Bayes: log odds of a feature inside a subject against all text outside it.
+    """Complement naive Bayes: the negative log of a feature's smoothed rate in all text outside a subject.
 
-    The odds are taken against the subject's share in the languages that the feature occurs in
-    (spoken: feature counts by language; units, total: the subject's and all text by language).
-    Only features that clearly speak for a subject keep their weight: the rest, such as the
-    common words of a language, would otherwise add up to clusters of languages.
+    Rates are relative to what the complement's share of the languages that the feature occurs in
+    lets expect (spoken: feature counts by language; units, total: the subject's and all text by
+    language), as the common words of a language would otherwise add up to clusters of languages.
+    Only features that clearly speak for a subject keep their weight.
     """
     k = inside.shape[1]
     w = np.zeros_like(inside)
@@ -179,10 +180,12 @@ def _complement_weights(inside: np.ndarray, everything: np.ndarray, spoken: np.n
     for i in range(1, k):
         share = (units[:, i] + 500 * whole[i]) / (total + 500)
         base = np.clip(spoken @ share / np.maximum(spoken.sum(axis=1), 1e-9), 1e-4, 0.9)
-        p = np.clip((inside[:, i] + 2 * base) / (everything + 2), 1e-6, 1 - 1e-3)
+        outside = np.maximum(everything - inside[:, i], 0.0)
+        rate = (outside + SMOOTH * (1 - base)) / ((everything + SMOOTH) * (1 - base))
+        p = np.clip((inside[:, i] + SMOOTH * base) / (everything + SMOOTH), 1e-6, 1 - 1e-3)
         odds = np.log(p / (1 - p)) - np.log(base / (1 - base))
         z = (inside[:, i] - everything * base) / np.sqrt(everything * base * (1 - base) + 1e-9)
-        w[:, i] = np.where((odds >= least) & (z >= 3) & (inside[:, i] >= 1.5), odds, 0.0)
+        w[:, i] = np.where((odds >= least) & (z >= 3) & (inside[:, i] >= 1.5), -SCALE * np.log(rate), 0.0)
     return w
 
 
@@ -224,6 +227,15 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.05) ->
     return beta
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """(df read from a table in the shared folder, a call that removes the table)."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/features_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def classify(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, subject, posterior of every document and subject with a sentence on it."""
     spark = documents.sparkSession
@@ -237,20 +249,22 @@ def classify(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds:
     bits = bits.groupBy("doc_id").agg(F.sum(F.pow(F.lit(2.0), F.col("s"))).cast("long").alias("label"))
     bits = bits.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the bounded sample of labelled documents
 
-    encoded = encode_documents(documents).join(bits, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(0).cast("long")))
     full = (1 << k) - 1
-    encoded = checkpointed(encoded.withColumn("mask", F.when(F.col("label") > 0, F.col("label").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(full).cast("long"))))
+    known = F.coalesce("label", F.lit(0).cast("long"))
+    encoded = encode_documents(documents).join(F.broadcast(bits), "doc_id", "left")  # at most max_labelled rows
+    encoded, forget = written(encoded.select("doc_id", "lang", "ids", "starts", known.alias("label"), F.when(known > 0, known.bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(full).cast("long")).alias("mask")))
 
-    first, units = _label_counts(encoded, k)
+    first, units, spoken = _first_counts(encoded, k)
     if not first[:, 1:].any():
+        forget()
         return spark.createDataFrame([], schema)
-    spoken = _language_counts(encoded)
     weights, prior = _complement_weights(first, first[:, 0], spoken, units, units[:, 0], 1.2), np.array([0.0, *[-3.0] * (k - 1)])
     for _ in range(rounds):
         counts, units = _expect(encoded, weights, prior, k)
         weights = _complement_weights(counts, counts.sum(axis=1), spoken, units, units.sum(axis=1), 1.5)
         prior = np.log((units.sum(axis=0) + 1) / (units[:, 0].sum() + 1))
     profiles = checkpointed(_profiles(encoded, weights, prior, k))
+    forget()
 
     known = profiles.filter("label > 0").limit(2 * max_labelled).toPandas()
     n = np.repeat(known["n"].to_numpy(), k - 1).astype("float64")
