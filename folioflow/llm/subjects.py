@@ -84,9 +84,11 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, starts.flatten().to_numpy() + base[doc], doc
 
 
-def _posteriors(flat: np.ndarray, starts: np.ndarray, weights: np.ndarray, prior: np.ndarray, allowed: np.ndarray | None) -> np.ndarray:
-    """Probability of plain text (column 0) and of each subject for each sentence."""
-    score = np.add.reduceat(weights[flat], starts, axis=0).astype("float64") + prior
+def _posteriors(flat: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray, prior: np.ndarray, allowed: np.ndarray | None) -> np.ndarray:
+    """Probability of plain text (column 0) and of each subject for each of n sentences; owner: the sentence of each feature."""
+    telling = weights.any(axis=1)[flat]
+    ids, at = flat[telling], owner[telling]
+    score = np.stack([np.bincount(at, weights=weights[ids, i], minlength=n) for i in range(weights.shape[1])], axis=1) + prior
     if allowed is not None:
         score = np.where(allowed, score, -1e9)
     score -= score.max(axis=1, keepdims=True)
@@ -94,51 +96,62 @@ def _posteriors(flat: np.ndarray, starts: np.ndarray, weights: np.ndarray, prior
     return p / p.sum(axis=1, keepdims=True)
 
 
-#: Counts as cells: bucket (below 0: of a language), column, number.
-_CELLS = "bucket int, col int, n double"
-#: Expected counts below this are not sent; they are less than a thousandth of an occurrence in a task.
+def _owners(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the sentence of each feature, the features of each sentence)"""
+    length = np.diff(np.append(starts, len(flat)))
+    return np.repeat(np.arange(len(starts)), length), length
+
+
+#: Shares of a sentence below this count as none.
 _FAINT = 1e-3
 
 
+def _counts_schema(k: int) -> str:
+    return "bucket int, " + ", ".join(f"c{i} float" for i in range(k))
+
+
 def _sum_counts(partial: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature counts (BUCKETS x k) and, from the buckets below 0, units by language (LANGUAGES x k)."""
-    cells = partial.groupBy("bucket", "col").agg(F.sum("n").alias("n")).toArrow()  # at most (BUCKETS + LANGUAGES) x k rows
-    bucket, col, n = (cells.column(c).to_numpy() for c in ("bucket", "col", "n"))
+    rows = partial.groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toArrow()  # at most BUCKETS + LANGUAGES rows
+    at = rows.column("bucket").to_numpy()
+    cells = np.stack([rows.column(f"c{i}").to_numpy() for i in range(k)], axis=1) if len(at) else np.zeros((0, k))
     out, units = np.zeros((BUCKETS, k)), np.zeros((LANGUAGES, k))
-    own = bucket >= 0
-    out[bucket[own], col[own]] = n[own]
-    units[-1 - bucket[~own], col[~own]] = n[~own]
+    out[at[at >= 0]] = cells[at >= 0]
+    units[-1 - at[at < 0]] = cells[at < 0]
     return out, units
 
 
 def _emit(counts: np.ndarray, units: np.ndarray, k: int) -> pa.RecordBatch:
-    at, col = np.nonzero(counts > _FAINT)
-    spoken, of = np.nonzero(units)
-    buckets = np.concatenate([-1 - spoken, at]).astype("int32")
-    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.concatenate([of, col]).astype("int32")), pa.array(np.concatenate([units[spoken, of], counts[at, col]]))], ["bucket", "col", "n"])
+    used, spoken = np.flatnonzero(counts.any(axis=1)), np.flatnonzero(units.any(axis=1))
+    data = np.vstack([units[spoken], counts[used]]).astype("float32")
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([-1 - spoken, used]).astype("int32")), *[pa.array(data[:, i]) for i in range(k)]], ["bucket", *[f"c{i}" for i in range(k)]])
 
 
-def _expect(encoded: DataFrame, weights: np.ndarray, prior: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """One E-step over all documents: expected feature counts of plain text and of each subject."""
-    shared = encoded.sparkSession.sparkContext.broadcast((weights.astype("float32"), prior))
+def _expect(encoded: DataFrame, weights: np.ndarray, prior: np.ndarray, spoken: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """One E-step over all documents: expected feature counts of plain text (what no subject has) and of each subject."""
+    shared = encoded.sparkSession.sparkContext.broadcast((weights, prior))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, pr = shared.value
-        counts, units = np.zeros((BUCKETS, k)), np.zeros((LANGUAGES, k))
+        counts, units = np.zeros((BUCKETS, k - 1)), np.zeros((LANGUAGES, k - 1))
         for b in it:
             flat, starts, doc = _flat(b)
             if not len(starts):
                 continue
+            owner, length = _owners(flat, starts)
             mask = np.asarray(b.column("mask").to_numpy(zero_copy_only=False))[doc]
-            allowed = ((mask[:, None] >> np.arange(k)) & 1).astype(bool)
-            p = _posteriors(flat, starts, w, pr, allowed)
-            length = np.diff(np.append(starts, len(flat)))
-            np.add.at(units, b.column("lang").to_numpy()[doc], p * length[:, None])
-            for i in range(k):
-                counts[:, i] += np.bincount(flat, weights=np.repeat(p[:, i], length), minlength=BUCKETS)
-        yield _emit(counts, units, k)
+            p = _posteriors(flat, owner, len(starts), w, pr, ((mask[:, None] >> np.arange(k)) & 1).astype(bool))
+            lang = b.column("lang").to_numpy()[doc]
+            for i in range(1, k):
+                share = np.where(p[:, i] > _FAINT, p[:, i], 0.0)
+                units[:, i - 1] += np.bincount(lang, weights=share * length, minlength=LANGUAGES)
+                at = np.flatnonzero((share > 0)[owner])
+                counts[:, i - 1] += np.bincount(flat[at], weights=share[owner[at]], minlength=BUCKETS)
+        yield _emit(counts, units, k - 1)
 
-    return _sum_counts(encoded.mapInArrow(run, _CELLS), k)
+    inside, units = _sum_counts(encoded.mapInArrow(run, _counts_schema(k - 1)), k - 1)
+    rest = np.maximum(spoken.sum(axis=1) - inside.sum(axis=1), 0.0), np.maximum(spoken.sum(axis=0) - units.sum(axis=1), 0.0)
+    return np.column_stack([rest[0], inside]), np.column_stack([rest[1], units])
 
 
 def _first_counts(encoded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +163,7 @@ def _first_counts(encoded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, n
             flat, starts, doc = _flat(b)
             if not len(starts):
                 continue
-            length = np.diff(np.append(starts, len(flat)))
+            length = _owners(flat, starts)[1]
             lang = b.column("lang").to_numpy()[doc]
             spoken = flat.astype("int64") * LANGUAGES + np.repeat(lang, length)
             counts[:, k:] += np.bincount(spoken, minlength=BUCKETS * LANGUAGES).reshape(BUCKETS, LANGUAGES)
@@ -162,7 +175,7 @@ def _first_counts(encoded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, n
                     counts[:, i] += np.bincount(flat, weights=np.repeat(has, length), minlength=BUCKETS)
         yield _emit(counts, units, k + LANGUAGES)
 
-    counts, units = _sum_counts(encoded.mapInArrow(run, _CELLS), k + LANGUAGES)
+    counts, units = _sum_counts(encoded.mapInArrow(run, _counts_schema(k + LANGUAGES)), k + LANGUAGES)
     return counts[:, :k], units[:, :k], counts[:, k:]
 
 
@@ -191,7 +204,7 @@ def _complement_weights(inside: np.ndarray, everything: np.ndarray, spoken: np.n
 
 def _profiles(encoded: DataFrame, weights: np.ndarray, prior: np.ndarray, k: int) -> DataFrame:
     """doc_id, n (sentences) and mass (expected sentences) of each subject, one array a document."""
-    shared = encoded.sparkSession.sparkContext.broadcast((weights.astype("float32"), prior))
+    shared = encoded.sparkSession.sparkContext.broadcast((weights, prior))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, pr = shared.value
@@ -199,7 +212,7 @@ def _profiles(encoded: DataFrame, weights: np.ndarray, prior: np.ndarray, k: int
             flat, starts, doc = _flat(b)
             mass = np.zeros((b.num_rows, k))
             if len(starts):
-                p = _posteriors(flat, starts, w, pr, None)
+                p = _posteriors(flat, _owners(flat, starts)[0], len(starts), w, pr, None)
                 np.add.at(mass, doc, np.where(p > 0.5, p, 0.0))
             n = np.bincount(doc, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(n.astype("int32")), pa.array(list(mass[:, 1:]), pa.list_(pa.float64()))], ["doc_id", "label", "n", "mass"])
@@ -260,7 +273,7 @@ def classify(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds:
         return spark.createDataFrame([], schema)
     weights, prior = _complement_weights(first, first[:, 0], spoken, units, units[:, 0], 1.2), np.array([0.0, *[-3.0] * (k - 1)])
     for _ in range(rounds):
-        counts, units = _expect(encoded, weights, prior, k)
+        counts, units = _expect(encoded, weights, prior, spoken, k)
         weights = _complement_weights(counts, counts.sum(axis=1), spoken, units, units.sum(axis=1), 1.5)
         prior = np.log((units.sum(axis=0) + 1) / (units[:, 0].sum() + 1))
     profiles = checkpointed(_profiles(encoded, weights, prior, k))
