@@ -1,10 +1,12 @@
 """Splitting oversized items at natural boundaries (problem 1).
 
-An item is cut into byte or character ranges that are scanned independently, each with a halo
-on both sides so that a boundary on a range's edge is seen whole. The ranges' boundary tables
-(offset, strength) are stitched per item and a prefix sum turns offsets inside a range into
-offsets of the item. Pieces are planned on these numbers only, then cut out by offset, range by
-range or with ``substring``; no task holds more of an item than it emits or scans.
+A text or file is cut into ranges (of characters, or of bytes) that are scanned independently, each
+with a halo on both sides that goes on over white space, so that a boundary on a range's edge is seen
+whole. The ranges' boundary tables (offset, strength) are stitched in their order: a prefix sum of
+the ranges' lengths turns offsets inside a range into those of the item, and the planner reads one
+table after another, keeping no more than those of one room. Pieces are then cut out by offset,
+from the ranges that they touch. A text of one range needs no stitching and is done where it is
+read. Work grows with the size of an item, and no task holds a file.
 
 Defined results: the size is taken without outer white space; an item of exactly the limit stays
 whole; null and blank items give no rows; a piece ends at the strongest boundary of the last
@@ -15,18 +17,21 @@ are separate items.
 
 from __future__ import annotations
 
-import bisect
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import TRIM
+from ..functions.text import BLANK
 
+#: White space at either end; the end is looked for once, at the start of a run, however long runs inside are.
+OUTER = rf"^{BLANK}+|(?<!{BLANK}){BLANK}+$"
 RANGE = 1 << 16
 HALO = 64
 
@@ -51,139 +56,202 @@ def boundaries(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return sorted(found.items())
 
 
+class Planner:
+    """Plans the pieces of one item while its boundary tables come in, in order."""
+
+    def __init__(self, length: int, limit: int, overlap: int, search: float = 0.5):
+        if limit <= overlap:
+            raise ValueError("the overlap must be smaller than the limit")
+        self.length, self.limit, self.overlap, self.search = length, limit, overlap, search
+        self.start = 0
+        self.offsets, self.strengths = np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64")
+
+    def feed(self, offsets: np.ndarray, strengths: np.ndarray, until: int) -> list[tuple[int, int, int]]:
+        """(start, end, strength of the cut) of the pieces that the boundaries up to ``until`` decide."""
+        o, s = np.concatenate([self.offsets, offsets]), np.concatenate([self.strengths, strengths])
+        out = []
+        while self.length - self.start > self.limit and self.start + self.limit <= until:
+            room = self.start + self.limit
+            least = max(self.start + self.overlap + 1, self.start + int(self.limit * (1 - self.search)))
+            lo, hi = np.searchsorted(o, [least, room + 1])
+            if lo == hi:  # nothing in the last part of the room: any boundary that leaves progress
+                lo = np.searchsorted(o, self.start + self.overlap + 1)
+            end, strength = room, 0
+            if lo < hi:
+                at = hi - 1 - int(np.argmax(s[lo:hi][::-1]))
+                end, strength = int(o[at]), int(s[at])
+            out.append((self.start, end, strength))
+            self.start = end - self.overlap
+        keep = np.searchsorted(o, self.start + self.overlap + 1)
+        self.offsets, self.strengths = o[keep:], s[keep:]
+        if until >= self.length:
+            out.append((self.start, self.length, 0))
+        return out
+
+
 def plan(length: int, offsets: np.ndarray, strengths: np.ndarray, limit: int, overlap: int, search: float = 0.5) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut) of the pieces of an item of the given length."""
-    if limit <= overlap:
-        raise ValueError("the overlap must be smaller than the limit")
-    out, start = [], 0
-    while length - start > limit:
-        room = start + limit
-        least = max(start + overlap + 1, start + int(limit * (1 - search)))
-        lo, hi = bisect.bisect_left(offsets, least), bisect.bisect_right(offsets, room)
-        if lo == hi:  # nothing in the last part of the room: any boundary that leaves progress
-            lo = bisect.bisect_left(offsets, start + overlap + 1)
-        if lo < hi:
-            s = strengths[lo:hi]
-            at = lo + len(s) - 1 - int(np.argmax(s[::-1]))
-            end, strength = int(offsets[at]), int(strengths[at])
-        else:
-            end, strength = room, 0
-        out.append((start, end, strength))
-        start = end - overlap
-    out.append((start, length, 0))
-    return out
+    return Planner(length, limit, overlap, search).feed(np.asarray(offsets), np.asarray(strengths), length)
+
+
+def range_at(text: str, at: int) -> tuple[str, int, int]:
+    """(the range's text with its halos, start and end of the range in it); halos end at no white space."""
+    end = min(at + RANGE, len(text))
+    lo, hi = max(at - HALO, 0), min(end + HALO, len(text))
+    while lo and text[lo - 1].isspace():
+        lo -= 1
+    while hi < len(text) and text[hi - 1].isspace():
+        hi += 1
+    return text[lo:hi], at - lo, end - lo
 
 
 def oversized(items: DataFrame, limit: int, text_col: str = "text") -> DataFrame:
     """The items above the limit in code points without outer white space; ``text`` comes out trimmed."""
-    text = F.regexp_replace(F.col(text_col).cast("string"), TRIM, "")
+    text = F.regexp_replace(F.col(text_col).cast("string"), OUTER, "")
     return items.filter(F.length(text_col) > limit).withColumn(text_col, text).filter(F.length(text_col) > limit)
 
 
 def split_items(items: DataFrame, keys: list[str], limit: int, overlap: int, text_col: str = "text") -> DataFrame:
-    """keys, piece_no, start_offset, end_offset, boundary and piece of each item above the limit.
-
-    The ranges of an item are scanned by different tasks; the plan of an item sees one number
-    pair for each boundary it may need: the last one of each strength in each cell of a
-    quarter of the room after the overlap.
-    """
+    """keys, piece_no, start_offset, end_offset, boundary and piece of each item above the limit."""
     big = oversized(items.select(*keys, text_col), limit, text_col)
-    cell = max(1, (limit - overlap) // 8)
-    ranges = big.select(*keys, F.length(text_col).alias("_len"), F.explode(F.sequence(F.lit(0), (F.length(text_col) - 1).cast("int"), F.lit(RANGE))).alias("_at"), F.col(text_col).alias("_t"))
-    ranges = ranges.select(*keys, "_len", "_at", F.expr(f"substring(_t, greatest(_at - {HALO}, 0) + 1, {RANGE + 2 * HALO})").alias("_t"))
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema if f.name in keys)
+    columns = f"{key_types}, piece_no int, start_offset long, end_offset long, boundary string"
+    small = big.filter(F.length(text_col) <= RANGE)
 
-    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, it):
-            offsets, strengths = [], []
-            for at, text in zip(pdf["_at"], pdf["_t"]):
-                halo = min(int(at), HALO)
-                last: dict[tuple[int, int], int] = {}
-                for off, s in boundaries(text, halo, halo + RANGE):
-                    where = int(at) - halo + off
-                    last[where // cell, s] = where
-                pairs = sorted((w, s) for (_, s), w in last.items())
-                offsets.append([w for w, _ in pairs])
-                strengths.append([s for _, s in pairs])
-            yield pdf[[*keys, "_len", "_at"]].astype(object).assign(_offsets=offsets, _strengths=strengths)
-
-    tables = ranges.mapInPandas(scan, f"{key_types}, _len int, _at int, _offsets array<long>, _strengths array<int>")
-    stitched = tables.groupBy(*keys).agg(F.max("_len").alias("_len"), F.sort_array(F.collect_list(F.struct("_at", "_offsets", "_strengths"))).alias("_parts"))
-    stitched = stitched.select(*keys, "_len", F.flatten("_parts._offsets").alias("_offsets"), F.flatten("_parts._strengths").alias("_strengths"))
-
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filter(len, it):
-            plans = [plan(int(n), np.asarray(o, dtype="int64"), np.asarray(s, dtype="int64"), limit, overlap) for n, o, s in zip(pdf["_len"], pdf["_offsets"], pdf["_strengths"])]
-            rows = [(i, k, a, b, KIND[s]) for i, p in enumerate(plans) for k, (a, b, s) in enumerate(p)]
-            flat = pd.DataFrame(rows, columns=["_i", "piece_no", "start_offset", "end_offset", "boundary"])
+            rows = []
+            for i, text in enumerate(pdf[text_col]):
+                found = boundaries(text, 0, len(text))
+                cuts = plan(len(text), np.array([o for o, _ in found], dtype="int64"), np.array([s for _, s in found], dtype="int64"), limit, overlap)
+                rows += [(i, k, a, b, KIND[s], text[a:b]) for k, (a, b, s) in enumerate(cuts)]
+            flat = pd.DataFrame(rows, columns=["_i", "piece_no", "start_offset", "end_offset", "boundary", "piece"])
             yield pd.concat([pdf[keys].astype(object).iloc[flat.pop("_i")].reset_index(drop=True), flat], axis=1)
 
-    pieces = stitched.mapInPandas(cut, f"{key_types}, piece_no int, start_offset long, end_offset long, boundary string")
-    text = big.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text_col).alias("_t"))
-    same = [pieces[k].eqNullSafe(text[f"_k{i}"]) for i, k in enumerate(keys)]
-    return pieces.join(text, same).select(*keys, "piece_no", "start_offset", "end_offset", "boundary", F.expr("substring(_t, cast(start_offset + 1 as int), cast(end_offset - start_offset as int))").alias("piece"))
+    return small.mapInPandas(whole, f"{columns}, piece string").unionByName(_split_ranges(big.filter(F.length(text_col) > RANGE), keys, limit, overlap, text_col, key_types, columns))
+
+
+def _split_ranges(big: DataFrame, keys: list[str], limit: int, overlap: int, text_col: str, key_types: str, columns: str) -> DataFrame:
+    """The same for items of several ranges."""
+
+    def cut_ranges(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in filter(len, it):
+            for row in pdf.itertuples(index=False):
+                text = row[-1]
+                for at in range(0, len(text), RANGE):
+                    part, a, b = range_at(text, at)
+                    yield pd.DataFrame([(*row[:-1], len(text), at, part, a, b)], columns=[*keys, "_len", "_at", "_t", "_a", "_b"], dtype=object)
+
+    ranges = big.select(*keys, text_col).mapInPandas(cut_ranges, f"{key_types}, _len long, _at long, _t string, _a int, _b int")
+
+    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in filter(len, it):
+            tables = [boundaries(t, a, b) for t, a, b in zip(pdf["_t"], pdf["_a"], pdf["_b"])]
+            offsets = [[at - a + o for o, _ in found] for found, at, a in zip(tables, pdf["_at"], pdf["_a"])]
+            yield pdf[[*keys, "_len", "_at"]].astype(object).assign(_offsets=offsets, _strengths=[[s for _, s in found] for found in tables])
+
+    spread = ranges.repartition(*keys, "_at")
+    tables = spread.mapInPandas(scan, f"{key_types}, _len long, _at long, _offsets array<long>, _strengths array<int>")
+    ordered = tables.repartition(*keys).sortWithinPartitions(*keys, "_at")
+    pieces = ordered.mapInPandas(lambda it: _stitch(it, keys, "_len", "_at", "_offsets", "_strengths", limit, overlap), columns)
+
+    # Each piece takes its parts from the ranges that it touches.
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    touched = pieces.withColumn("_at", F.explode(F.expr(f"transform(sequence(start_offset div {RANGE}, (end_offset - 1) div {RANGE}), k -> k * {RANGE})")))
+    both = touched.alias("p").join(ranges.alias("r"), [*same, F.col("p._at") == F.col("r._at")])
+    part = F.expr(f"substring(_t, cast(_a + greatest(start_offset - p._at, 0) + 1 as int), cast(least(end_offset, p._at + {RANGE}) - greatest(start_offset, p._at) as int))")
+    own = [F.col(f"p.{k}").alias(k) for k in keys]
+    parts = both.select(*own, "piece_no", "start_offset", "end_offset", "boundary", F.struct(F.col("p._at").alias("at"), part.alias("part")).alias("s"))
+    joined = parts.groupBy(*keys, "piece_no", "start_offset", "end_offset", "boundary").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return joined.select(*keys, "piece_no", "start_offset", "end_offset", "boundary", F.array_join(F.col("s.part"), "").alias("piece"))
+
+
+def _stitch(it: Iterator[pd.DataFrame], keys: list[str], length: str, at: str, offsets: str, strengths: str, limit: int, overlap: int, span: str | None = None) -> Iterator[pd.DataFrame]:
+    """Plans items whose boundary tables come in order; one item is open at a time. span: the column of the ranges' lengths, RANGE without one."""
+    item, planner, number = None, None, 0
+    for pdf in filter(len, it):
+        out = []
+        spans = pdf[span] if span else [RANGE] * len(pdf)
+        for *key, n, start, o, s, size in zip(*(pdf[c] for c in (*keys, length, at, offsets, strengths)), spans):
+            key = tuple(None if x is None or x != x else x for x in key)
+            if planner is None or key != item:
+                item, planner, number = key, Planner(int(n), limit, overlap), 0
+            for a, b, strength in planner.feed(np.asarray(o, dtype="int64"), np.asarray(s, dtype="int64"), min(int(start) + int(size), int(n))):
+                out.append((*key, number, a, b, KIND[strength]))
+                number += 1
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, "piece_no", "start_offset", "end_offset", "boundary"], dtype=object)
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
+
+
+def _byte_ends(text: str) -> np.ndarray:
+    """Bytes of the text's UTF-8 form up to each character's end, after a 0."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.concatenate([[0], np.cumsum(1 + (c > 0x7F).astype("int64") + (c > 0x7FF) + (c > 0xFFFF))])
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, range_bytes: int = 8 << 20, halo: int = 4096) -> DataFrame:
-    """path, piece_no, start_offset, end_offset (bytes) and piece of UTF-8 files of any size.
+    """path, piece_no, start_offset, end_offset (bytes), boundary and piece of UTF-8 files of any size and file system.
 
-    limit and overlap are bytes here. Workers read one byte range with its halo at a time; pieces
-    are read by offset. Cuts never fall inside a character.
+    limit and overlap are bytes here. Workers read one byte range with its halo at a time; pieces are
+    read by offset. Cuts never fall inside a character: those without a boundary go back to its start.
+    White space that is longer than the halo may be cut inside.
     """
-    import os
-
-    sizes = [(p, os.path.getsize(p)) for p in paths]
+    sizes = []
+    for p in paths:
+        store, name = _opened(p)
+        sizes.append((p, store.get_file_info(name).size))
     todo = [(p, n, at) for p, n in sizes for at in range(0, n, range_bytes)]
     ranges = spark.createDataFrame(todo, "path string, size long, start long")
     ranges = ranges.repartition(max(1, min(len(todo), 10_000)), "path", "start")
-    cell = max(1, (limit - overlap) // 8)
+    room = limit - 3  # a cut may go back by up to three bytes, and so may the start after it
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, it):
             for path, size, start in pdf.itertuples(index=False):
-                with open(path, "rb") as f:
-                    f.seek(max(0, start - halo))
-                    raw = f.read(min(start, halo) + range_bytes + halo)
-                text = raw.decode("latin-1")  # one character a byte: offsets are bytes
-                inside = min(start, halo)
-                last: dict[tuple[int, int], int] = {}
-                for off, s in boundaries(text.replace("\x85", "\x00").replace("\xa0", "\x00"), inside, inside + range_bytes):
-                    where = start - inside + off
-                    last[where // cell, s] = where
-                for i in range(inside + 1, min(len(raw), inside + range_bytes)):  # starts of characters, one a cell, for text without any boundary
-                    if (start - inside + i) % cell == 0:
-                        while i < len(raw) and raw[i] & 0xC0 == 0x80:
-                            i += 1
-                        last.setdefault(((start - inside + i) // cell, 0), start - inside + i)
-                pairs = sorted((w, s) for (_, s), w in last.items())
-                yield pd.DataFrame({"path": path, "size": size, "start": start, "offsets": [[w for w, _ in pairs]], "strengths": [[s for _, s in pairs]]})
-
-    tables = ranges.mapInPandas(scan, "path string, size long, start long, offsets array<long>, strengths array<int>")
-    stitched = tables.groupBy("path").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("start", "offsets", "strengths"))).alias("parts"))
-
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filter(len, it):
-            for path, size, parts in pdf.itertuples(index=False):
-                offsets = np.concatenate([np.asarray(p["offsets"], dtype="int64") for p in parts])
-                strengths = np.concatenate([np.asarray(p["strengths"], dtype="int64") for p in parts])
-                done = plan(int(size), offsets, strengths, limit, overlap)
-                yield pd.DataFrame([(path, k, a, b) for k, (a, b, _) in enumerate(done)], columns=["path", "piece_no", "start_offset", "end_offset"])
+                store, name = _opened(path)
+                with store.open_input_file(name) as f:
+                    first = max(0, start - halo)
+                    raw = f.read_at(min(size, start + range_bytes + halo) - first, first)
+                skip = next((i for i in range(min(4, len(raw))) if raw[i] & 0xC0 != 0x80), 0)  # the rest of a character
+                text = raw[skip:].decode("utf-8", "surrogateescape")
+                ends = _byte_ends("".join("a" if "\udc80" <= c <= "\udcff" else c for c in text) if not text.isascii() else text)
+                found = [(first + skip + int(ends[o]), s) for o, s in boundaries(text, 0, len(text))]
+                inside = [(o, s) for o, s in found if start < o <= start + range_bytes]
+                yield pd.DataFrame({"path": path, "size": size, "start": start, "offsets": [[o for o, _ in inside]], "strengths": [[s for _, s in inside]], "span": range_bytes})
+
+    tables = ranges.mapInPandas(scan, "path string, size long, start long, offsets array<long>, strengths array<int>, span long")
+    ordered = tables.repartition("path").sortWithinPartitions("path", "start")
+
+    def stitched(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _stitch(it, ["path"], "size", "start", "offsets", "strengths", room, overlap, "span")
 
-    pieces = stitched.mapInPandas(cut, "path string, piece_no int, start_offset long, end_offset long").repartition("path", "piece_no")
+    pieces = ordered.mapInPandas(stitched, "path string, piece_no int, start_offset long, end_offset long, boundary string").repartition("path", "piece_no")
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, it):
-            texts = []
-            for path, _, a, b in pdf.itertuples(index=False):
-                with open(path, "rb") as f:
-                    f.seek(a)
-                    raw = f.read(b - a)
-                while raw and raw[0] & 0xC0 == 0x80:  # an overlap may begin inside a character
-                    raw = raw[1:]
-                texts.append(raw.decode("utf-8", errors="replace"))
-            yield pdf.assign(piece=texts)
-
-    return pieces.mapInPandas(read, "path string, piece_no int, start_offset long, end_offset long, piece string")
+            texts, starts, stops = [], [], []
+            for path, a, b in zip(pdf["path"], pdf["start_offset"], pdf["end_offset"]):
+                store, name = _opened(path)
+                with store.open_input_file(name) as f:
+                    raw, first = f.read_at(b - max(0, a - 3) + 1, max(0, a - 3)), max(0, a - 3)
+                a, b = _character(raw, a - first), _character(raw, b - first)
+                texts.append(raw[a:b].decode("utf-8", "replace"))
+                starts.append(first + a)
+                stops.append(first + b)
+            yield pdf.assign(start_offset=starts, end_offset=stops, piece=texts)
+
+    return pieces.mapInPandas(read, "path string, piece_no int, start_offset long, end_offset long, boundary string, piece string")
+
+
+def _character(raw: bytes, at: int) -> int:
+    """The start of the character that a place lies in."""
+    while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
 
 
 def items_of(paragraphs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -52,11 +52,31 @@ def test_pieces_found_counts_items_not_pieces(spark):
     assert pieces.found(p.limit(0), c.limit(0), lim).count() == 0
 
 
-def test_files_are_cut_by_ranges_without_losing_a_byte(spark, tmp_path):
-    text = words_text(5000, 5) + "ß" * 700
-    (tmp_path / "f.txt").write_text(text)
-    got = sorted(pieces.split_files(spark, [str(tmp_path / "f.txt")], 1000, 0, range_bytes=4096, halo=64).collect(), key=lambda r: r.piece_no)
-    assert "".join(r.piece for r in got) == text and all(r.end_offset - r.start_offset <= 1000 for r in got)
+def test_items_of_many_ranges_are_cut_as_planned_over_all_boundaries(spark, monkeypatch):
+    rnd = random.Random(11)
+    monkeypatch.setattr(pieces, "RANGE", 1 << 16)  # workers keep the module's own value
+    texts = [words_text(30_000, k) for k in range(2)] + ["a" + " " * 200 + words_text(20_000, 9), "語" * 70_000, "x. " + "\n" * 66_000 + "end"]
+    texts += ["".join(rnd.choice("ab .,\n") for _ in range(140_000)).strip()]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {}
+    for r in pieces.split_items(df, ["k"], 2000, 100).collect():
+        got.setdefault(r.k, []).append((r.piece_no, r.start_offset, r.end_offset, r.boundary, r.piece))
+    for k, text in enumerate(texts):
+        found = pieces.boundaries(text, 0, len(text))
+        want = pieces.plan(len(text), np.array([o for o, _ in found]), np.array([s for _, s in found]), 2000, 100)
+        assert sorted(got[k]) == [(i, a, b, pieces.KIND[s], text[a:b]) for i, (a, b, s) in enumerate(want)]
+
+
+@pytest.mark.parametrize("overlap", [0, 90])
+def test_files_are_cut_by_ranges_without_losing_a_byte(spark, tmp_path, overlap):
+    text = words_text(5000, 5) + "ß" * 700 + "川は流れる。雨が降った。" * 300
+    (tmp_path / "f.txt").write_text(text, encoding="utf-8")
+    got = sorted(pieces.split_files(spark, [str(tmp_path / "f.txt")], 1000, overlap, range_bytes=4096, halo=64).collect(), key=lambda r: r.piece_no)
+    raw = text.encode()
+    assert all(r.end_offset - r.start_offset <= 1000 and raw[r.start_offset : r.end_offset].decode() == r.piece for r in got)
+    assert got[0].start_offset == 0 and got[-1].end_offset == len(raw)
+    assert all(overlap <= a.end_offset - b.start_offset <= overlap + 3 for a, b in zip(got, got[1:]))
+    assert all(r.piece.endswith("。") for r in got[-8:-1])
 
 
 # 2, 3, 4: a small bilingual world -------------------------------------------------------------
