@@ -79,6 +79,10 @@ def p7_pages(spark: SparkSession, d: str) -> DataFrame:
     return scans.repair_books(*_p7(spark, d))[0]
 
 
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.continuous(scans.repair_books(*_p7(spark, d))[0])
+
+
 def p7_titles(spark: SparkSession, d: str) -> DataFrame:
     return scans.repair_books(*_p7(spark, d))[1]
 
@@ -113,7 +117,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_pieces, p2_found, p2_report, p3_found, p4_found, p4_report, p5_chunks, p5_report, p6_found, p6_normalized, p7_found, p7_pages, p7_titles, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_composition]
+    found = [p1_found, p1_pieces, p2_found, p2_report, p3_found, p4_found, p4_report, p5_chunks, p5_report, p6_found, p6_normalized, p7_found, p7_pages, p7_paragraphs, p7_titles, p8_ids, p8_decoded, p9_mix, p9_report, p10_found, p10_composition]
     return {f.__name__: f for f in found}
 
 

@@ -525,6 +525,46 @@ def repair_books(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame
     return repaired, retitled
 
 
+def continuous(pages: DataFrame) -> DataFrame:
+    """project_id, chapter_id, row_id, place, n_pages, text: the paragraphs of scanned books, each from the page where it begins (row_id) over all pages that it runs on to.
+
+    A page that is delivered several times is taken once, by its least row_id; a page without its
+    next one ends its paragraph. Pages meet their neighbours by their number, so no book is one
+    task's work; a paragraph over n pages takes log n rounds.
+    """
+    cols = F.struct("row_id", "chapter_id", "paragraphs", "runs_on", "kinds")
+    page = pages.filter("project_id is not null and para_index is not null and size(paragraphs) > 0").groupBy("project_id", "para_index").agg(F.min_by(cols, "row_id").alias("p")).select("project_id", "para_index", "p.*")
+    page = checkpointed(page)
+    before = page.select("project_id", (F.col("para_index") + 1).alias("para_index"), F.col("runs_on").alias("_open"))
+    page = page.join(before, ["project_id", "para_index"], "left").withColumn("joined", F.coalesce("_open", F.lit(False))).drop("_open")
+
+    # Where the first paragraph of a joined page begins: the page before, unless that is a single joined paragraph itself.
+    through = page.filter("joined and size(paragraphs) = 1").select("project_id", F.col("para_index").alias("head"), F.lit(True).alias("_through"))
+    heads = page.filter("joined").select("project_id", "para_index", (F.col("para_index") - 1).alias("head")).join(through, ["project_id", "head"], "left")
+    heads = checkpointed(heads.select("project_id", "para_index", "head", F.coalesce("_through", F.lit(False)).alias("open")))
+    while not heads.filter("open").isEmpty():
+        up = heads.select("project_id", F.col("para_index").alias("head"), F.col("head").alias("_head"), F.col("open").alias("_open"))
+        further = heads.filter("open").join(up, ["project_id", "head"]).select("project_id", "para_index", F.col("_head").alias("head"), F.col("_open").alias("open"))
+        heads = checkpointed(heads.filter("not open").unionByName(further))
+
+    page = page.join(heads.drop("open"), ["project_id", "para_index"], "left")
+    each = page.select("project_id", "para_index", "row_id", "chapter_id", "head", "kinds", F.size("paragraphs").alias("n"), F.posexplode("paragraphs").alias("place", "text"))
+    own = (F.col("place") == 0) & F.col("head").isNotNull()
+    # A paragraph is known by its first page, and by being the last there or by its place.
+    last = F.col("place") == F.col("n") - 1
+    key = F.when(own, F.lit(-1)).when(last, F.lit(-1)).otherwise(F.col("place"))
+    hyphen = F.array_contains("kinds", "hyphen")
+    parts = each.select("project_id", F.when(own, F.col("head")).otherwise(F.col("para_index")).alias("page"), key.alias("key"), F.struct("para_index", "text", hyphen.alias("hyphen")).alias("s"), F.struct("para_index", "chapter_id", "row_id", "place").alias("first"))
+    whole = parts.groupBy("project_id", "page", "key").agg(F.sort_array(F.collect_list("s")).alias("s"), F.min("first").alias("f"))
+    cut = rf"[{HYPHENS}]\s*$"
+    text = F.aggregate(
+        F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.struct(F.element_at("s", 1)["text"].alias("t"), F.element_at("s", 1)["hyphen"].alias("h")),
+        lambda acc, x: F.struct(F.concat(F.when(acc["t"].rlike(cut), F.when(acc["h"], F.regexp_replace(acc["t"], cut, "")).otherwise(F.rtrim(acc["t"]))).otherwise(F.concat(acc["t"], F.lit(" "))), x["text"]).alias("t"), x["hyphen"].alias("h")),
+        lambda acc: acc["t"],
+    )
+    return whole.select("project_id", "f.chapter_id", "f.row_id", "f.place", F.size("s").alias("n_pages"), text.alias("text"))
+
+
 def found(paragraphs: DataFrame, chapters: DataFrame, projects: DataFrame) -> DataFrame:
     pages, titles = repair_books(paragraphs, chapters, projects)
     p = pages.select(F.lit("paragraph").alias("record_kind"), F.col("row_id").alias("record_id"), F.explode("kinds").alias("noise_kind"))

@@ -464,3 +464,16 @@ def test_subjects_on_held_out_documents(spark):
     assert len(found & want) / len(found | want) > 0.9
     none = spark.createDataFrame([], "doc_id long, subject string")
     assert subjects.found(df, none, spark.createDataFrame([(s,) for s in terms], "subject string")).count() == 0
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    schema = "row_id long, project_id string, chapter_id string, para_index int, paragraphs array<string>, runs_on boolean, kinds array<string>"
+    rows = [
+        (1, "p", "c", 0, ["One.", "It be-"], True, ["hyphen"]), (2, "p", "c", 1, ["gan in the"], True, []), (3, "p", "c", 2, ["very well-"], True, []), (4, "p", "c", 3, ["known town.", "Two."], False, []),
+        (5, "p", "c", 4, ["Three"], True, []), (6, "p", "c", 4, ["Three again"], True, []), (7, "p", "c", 9, ["Alone"], True, []), (8, "q", "c", 5, ["Other."], False, []), (9, None, "c", 5, ["x"], True, []), (10, "p", "c", 20, [], True, []),
+    ]
+    got = {(r.project_id, r.row_id, r.place): (r.n_pages, r.text) for r in scans.continuous(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        ("p", 1, 0): (1, "One."), ("p", 1, 1): (4, "It began in the very well-known town."), ("p", 4, 1): (1, "Two."), ("p", 5, 0): (1, "Three"), ("p", 7, 0): (1, "Alone"), ("q", 8, 0): (1, "Other."),
+    }
+    assert scans.continuous(spark.createDataFrame([], schema)).count() == 0
