@@ -32,7 +32,7 @@ def plain(text: str | None) -> str:
     """The text in its consistent form."""
     if not text:
         return ""
-    return canonical(text)[0] if _QUICK.search(text) else text
+    return canonical(text, forms=False)[0] if _QUICK.search(text) else text
 
 
 def sentences(text: str) -> list[tuple[int, int]]:

@@ -5,9 +5,11 @@ canonical form: most values never reach Python. In an unstable value only the se
 such characters (with their boundary context: the base letter before a combining accent, the
 word around a look-alike) are normalized and spliced into the unchanged rest.
 
+The quick check is made of properties: NFC quick check is No, combining, width variants, ligatures.
 Canonical form: full-width Latin letters and digits become ASCII; combining accents are composed
 (NFC) with the letter before them; zero-width characters go; non-breaking spaces become a
-space; look-alike letters inside a Latin word become the Latin letter. Whole words and single
+space; zero-width joiners stay between pictures and letters of scripts that join; what else has another form by its properties (full-width marks, ligatures, Hangul in parts,
+singletons) takes it, as the kind other_form, which is no disguise; look-alike letters inside a Latin word become the Latin letter. Whole words and single
 symbols of other alphabets stay. A null or an empty text stays as it is and has no kinds.
 """
 
@@ -38,16 +40,51 @@ _ALIKE = "".join(LOOK_ALIKE)
 #: Letters of Greek and Cyrillic with an accent, composed: ὸ, ά ...; they decompose to a look-alike and an accent.
 _OTHER = "\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff"
 _FULL = "０-９Ａ-Ｚａ-ｚ"
-_MARK = "\u0300-\u036f"
+#: The blocks of combining accents.
+_MARK = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+#: Letters of Hangul in parts, which compose.
+_JAMO = "\u1100-\u11ff"
+
+
+def _ranges(points: list[int]) -> str:
+    """A character class of code points in order."""
+    out: list[list[int]] = []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(rf"\u{a:04x}-\u{b:04x}" if a != b else rf"\u{a:04x}" for a, b in out)
+
+
+def _form(p: int) -> bool:
+    """Whether a character has another form by its Unicode properties: NFC quick check is No, or it is a width variant or a ligature."""
+    c = chr(p)
+    return not unicodedata.is_normalized("NFC", c) or unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")) or 0xFB00 <= p <= 0xFB06
 
-#: The quick check: any character that is not stable in the canonical form. Java and RE2 alike.
-QUICK_CHECK = f"[{_FULL}{_MARK}{ZERO_WIDTH}{NO_BREAK}{_OTHER}ɑɡ]"
 
+#: Characters of the basic plane with another form, by their properties.
+_FORMS = _ranges([p for p in range(0x80, 0x10000) if not 0xD800 <= p <= 0xDFFF and _form(p)])
+_ODD = re.compile(f"[{_OTHER}{_MARK}{_JAMO}{ZERO_WIDTH}{NO_BREAK}{_FORMS}{_ALIKE}]")
+#: The quick check: any character outside the blocks of most texts, less what is not stable there. Few ranges, so it is fast in the JVM.
+_BLOCKS = ((0x00, 0x2FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x3001, 0x9FFF), (0xAC00, 0xD7A3))
+QUICK_CHECK = f"[^{_ranges([p for a, b in _BLOCKS for p in range(a, b + 1) if not _ODD.match(chr(p))])}]"
+
+#: The kinds of disguise that a reader cannot see; other forms are brought together, too, but are no disguise.
+DISGUISES = ("combining", "full_width", "look_alike", "no_break_space", "zero_width")
+_JOINERS = "\u200c\u200d"
 _HARD = re.compile(f"[{_FULL}]+|[{ZERO_WIDTH}]+|[{NO_BREAK}]+")
 _ACCENTED = re.compile(f"[^\\W\\d_][{_MARK}]+")
 _WORD = re.compile(f"[^\\W\\d_{_MARK}]+(?:[{_MARK}]+[^\\W\\d_{_MARK}]*)*")
 _UNSTABLE = re.compile(f"[{_OTHER}ɑɡ]")
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+_SEGMENT = re.compile(f"[{_JAMO}]+|[{_FORMS}]")
+
+
+def _needed(text: str, start: int, end: int) -> bool:
+    """Whether a joiner stands between characters that it shapes: pictures, or letters of a script that joins."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    return bool(before and after) and all(unicodedata.category(c) in ("Lo", "Mn", "Mc", "So", "Sk") for c in (before, after))
 
 
 def _latin_twin(ch: str) -> str | None:
@@ -77,13 +114,18 @@ def _unmix(word: re.Match) -> str:
     return "".join(out)
 
 
-def canonical(text: str) -> tuple[str, list[str]]:
-    """The consistent form of a text and the kinds of disguise it held, sorted."""
+def canonical(text: str, forms: bool = True) -> tuple[str, list[str]]:
+    """The consistent form of a text and the kinds of disguise it held, sorted.
+
+    With ``forms``, what has another form by its properties is brought to it as well.
+    """
     kinds = set()
 
     def plain(m: re.Match) -> str:
         s = m.group()
         if s[0] in ZERO_WIDTH:
+            if all(c in _JOINERS for c in s) and _needed(text, m.start(), m.end()):
+                return s
             kinds.add("zero_width")
             return ""
         if s[0] in NO_BREAK:
@@ -104,9 +146,19 @@ def canonical(text: str) -> tuple[str, list[str]]:
         if latin != out:
             kinds.add("look_alike")
             out = latin
+    if forms and _SEGMENT.search(out):
+        # Width variants and ligatures are stable under NFC; they take their compatible form.
+        other = _SEGMENT.sub(lambda m: unicodedata.normalize("NFKC" if _form_of_width(m.group()) else "NFC", m.group()), out)
+        if other != out:
+            kinds.add("other_form")
+            out = other
     return out, sorted(kinds)
 
 
+def _form_of_width(s: str) -> bool:
+    return unicodedata.is_normalized("NFC", s)
+
+
 def normalize_values(df: DataFrame, record_kind: str, id_col: str, fields: list[str]) -> DataFrame:
     """(record_kind, record_id, field_name, changed, kinds, canonical) of each value of the fields.
 
@@ -134,4 +186,4 @@ def _normalized(values: DataFrame) -> DataFrame:
 def disguised_values(df: DataFrame, record_kind: str, id_col: str, fields: list[str]) -> DataFrame:
     """Only the values that hold a disguise: the quick check is pushed before Python."""
     any_unstable = reduce(lambda a, b: a | b, [F.coalesce(F.col(f).cast("string").rlike(QUICK_CHECK), F.lit(False)) for f in fields])
-    return normalize_values(df.filter(any_unstable), record_kind, id_col, fields).filter("changed")
+    return normalize_values(df.filter(any_unstable), record_kind, id_col, fields).filter(F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in DISGUISES])))

@@ -241,7 +241,7 @@ def clean_title(title: str | None) -> str:
     """A title without page number, line ends and disguised characters."""
     if not title:
         return ""
-    text = canonical(title)[0]
+    text = canonical(title, forms=False)[0]
     text = _TITLE_PAGE.sub("", text)
     return re.sub(rf"[{HYPHENS}]\s*[\n\r]+\s*", "", text).strip()
 
@@ -405,7 +405,7 @@ def repair_page(text: str | None, keys: set[str], words: Words, following: str =
 def repair_title(title: str | None, words: Words) -> tuple[str | None, list[str]]:
     if not title or not title.strip():
         return title, []
-    kinds, text = set(), canonical(title)[0]
+    kinds, text = set(), canonical(title, forms=False)[0]
     if m := _TITLE_PAGE.search(text):
         kinds.add("page_number")
         text = text[: m.start()]

@@ -477,3 +477,15 @@ def test_paragraphs_go_on_over_pages(spark):
         ("p", 1, 0): (1, "One."), ("p", 1, 1): (4, "It began in the very well-known town."), ("p", 4, 1): (1, "Two."), ("p", 5, 0): (1, "Three"), ("p", 7, 0): (1, "Alone"), ("q", 8, 0): (1, "Other."),
     }
     assert scans.continuous(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_forms_by_properties():
+    assert normalize.canonical("e\u1dc4!") == ("e\u1dc4!", ["combining"])
+    assert normalize.canonical("\u1112\u1161\u11ab") == ("한", ["other_form"])
+    assert normalize.canonical("Stop！ ﬁne \u212b") == ("Stop! fine Å", ["other_form"])
+    assert normalize.canonical("👩\u200d🚀 क\u094d\u200dष") == ("👩\u200d🚀 क\u094d\u200dष", [])
+    assert normalize.canonical("a\u200db") == ("ab", ["zero_width"])
+    quick = __import__("re").compile(normalize.QUICK_CHECK)
+    for p in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:  # a value that the quick check passes is in its canonical form
+        c = f"x{chr(p)}x"
+        assert quick.search(c) or normalize.canonical(c)[0] == c, hex(p)
