@@ -112,10 +112,9 @@ def register_all() -> None:
         "metadata_accept", lambda s: X.METADATA.df(s).select("file_name", R.accepted_title(F.col("title")).alias("title"), R.accepted_author(F.col("author")).alias("author")),
         f"WITH {X.METADATA.sql} SELECT file_name, CASE WHEN length(trim(coalesce(title, ''))) > 4 AND NOT {_any('lower(title)', R.NO_TITLES)} THEN trim(title) ELSE '' END AS title, CASE WHEN length(trim(coalesce(author, ''))) > 2 AND NOT {_any('lower(author)', R.NO_AUTHORS)} THEN trim(author) ELSE '' END AS author FROM metadata",
     )
-    title = R.textbook_title(F.col("title"), F.col("file_name"))
     cased = "list_aggregate(list_transform(string_split(lower(c), ' '), lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ')"
     lit(
-        "textbook_metadata", lambda s: X.METADATA.df(s).select("file_name", title.alias("title"), R.textbook_author(F.col("author"), title).alias("author")),
+        "textbook_metadata", lambda s: X.METADATA.df(s).withColumn("title", R.textbook_title(F.col("title"), F.col("file_name"))).select("file_name", "title", R.textbook_author(F.col("author"), F.col("title")).alias("author")),
         f"WITH {X.METADATA.sql}, a AS (SELECT *, coalesce(nullif(trim(regexp_extract(file_name, '{R.TEXTBOOK_NAME.replace('(?iu)', '(?i)')}', 1)), ''), file_name) AS c FROM metadata), b AS (SELECT file_name, author AS au, coalesce(nullif(trim(title), ''), CASE WHEN upper(c) = c AND lower(c) <> c THEN {cased} ELSE c END) AS title FROM a) SELECT file_name, title, coalesce(nullif(trim(au), ''), CASE WHEN {_any('lower(title)', R.STATE_TITLES)} THEN '{R.STATE_AUTHOR}' ELSE '{R.SEVERAL_AUTHORS}' END) AS author FROM b",
     )
     lit("glossary_store_roundtrip", lambda s: _store_columns(G.loaded(G.stored(G.loaded(X.STORES.df(s))))), _store_sql())
