@@ -3,11 +3,12 @@
 Each row is judged in the same pass that reads its phrases for problem 2: whether anything is said,
 whether the original is given back, the share of its words in sentences of another language (by the
 trigram profiles of ``language``), and whether it has anything to do with its original (names, numbers
-and entries of the lexicon). The openings of responses that have not are clustered by MinHash: bands
-of two minima name buckets, the members of a bucket are verified against each other (Jaccard of
-``SIMILAR`` on shingles of five words), and verified links make connected groups. A group whose openings answer at least ``RECURS`` unrelated originals is a
-template, and a response with one of its recurring phrases is a refusal. Cut off translations are
-those of problem 2.
+and entries of the lexicon). The openings of responses that have not are clustered by MinHash: minima
+name buckets, the members of a bucket are verified against each other, and verified links make
+connected groups. Whole openings are linked by a Jaccard similarity of ``ALIKE`` on their pairs of words (half
+of the pairs of two as long are the same), their first words by one of ``SIMILAR`` on shingles of five words. A
+group whose openings answer at least ``RECURS`` unrelated originals is a template, and a response with one
+of its recurring phrases is a refusal. Cut off translations are those of problem 2.
 
 One defect for each row, in this order: empty, copy, refusal, wrong_language, truncated.
 
@@ -18,8 +19,12 @@ and rows of another status take no part; repeated rows are judged each.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,7 @@ from . import broken, language
 from .bitext import WORD, Lexicon, learn, pairs
 
 SHINGLE, OPENINGS, WINDOW, RECURS = 5, (5, 7, 9), 20, 3
-SIMILAR, BANDS, ROWS = 0.8, 12, 2
+SIMILAR, ALIKE, MINIMA = 0.8, 1 / 3, 24
 SOURCE, TARGET = "en", broken.TARGET
 _MARKER = re.compile(r"\[{2,}[^\]]*\]{2,}")
 _QUOTED = re.compile(r"\[[^\]]*\]")
@@ -125,29 +130,85 @@ def judge(lexicon: Lexicon, source_lang: str = SOURCE, target_lang: str = TARGET
     return signs
 
 
-def _shingles(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")))
+def _shingles(words: Column, n: int = SHINGLE) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
 
 
-def _linked(openings: DataFrame) -> DataFrame:
-    """a, b: verified links of the openings (opening, shingles) that share a bucket; each is linked with one of its own set.
+def _bucket_links(bucket: list[tuple[str, frozenset[int]]], similar: float) -> Iterator[tuple[str, str]]:
+    """Verified links of a bucket's members (opening, shingles); they connect what all of its verified links connect.
 
-    Two sets of at most five shingles have a similarity of 0.8 only if they are equal or one is the
-    other and one shingle more. So a member looks for its set, and for its set less one shingle: a
-    bucket is joined by these keys, however many members it has.
+    Members that are connected already are not compared again. Others are if one of the rarest shingles of
+    the one is among the rarest of the other: sets of n and m shingles need a certain number in
+    common, and if they have it, not all of it lies among the frequent ones.
     """
+    often = Counter(s for _, own in bucket for s in own)
+    sizes = sorted({len(own) for _, own in bucket})
+    up = list(range(len(bucket)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def needed(n: int, m: int) -> int:
+        return math.ceil(similar / (1 + similar) * (n + m) - 1e-9)
+
+    looked_up = {n: [(m, n - needed(n, m) + 1) for m in sizes if needed(n, m) <= min(n, m)] for n in sizes}
+    holders: dict[tuple[int, int], dict[int, list[int]]] = {}  # by size and shingle, and by connected group
+    for i, (opening, own) in enumerate(bucket):
+        rarest, n = sorted(own, key=lambda s: (often[s], s)), len(own)
+        mine, missed = i, set()
+        for m, first in looked_up[n]:
+            for s in rarest[:first]:
+                if not (groups := holders.get((m, s))):
+                    continue
+                for g in [*groups]:
+                    if (now := top(g)) != g:
+                        groups.setdefault(now, []).extend(groups.pop(g))
+                for g, members in groups.items():
+                    if g == mine or top(g) == mine:
+                        continue
+                    for j in members:
+                        if j in missed:
+                            continue
+                        both = len(own & bucket[j][1])
+                        if both >= similar * (n + m - both):
+                            yield opening, bucket[j][0]
+                            up[mine] = mine = top(j)
+                            break
+                        missed.add(j)
+        for s in rarest[: n - math.ceil(similar * n - 1e-9) + 1]:
+            holders.setdefault((n, s), {}).setdefault(mine, []).append(i)
+
+
+def _linked(openings: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b: links of the openings (opening, shingles) with a similarity of at least ``similar``, among those that share a least hash; each is linked with itself.
+
+    Of the verified links of a bucket, those come that connect its members: never more than these. A
+    task holds the openings of one bucket.
+    """
+    hashed = openings.select("opening", F.transform("shingles", lambda s: F.xxhash64(s)).alias("shingles"))
+    least = [F.xxhash64(F.lit(i), F.array_min(F.transform("shingles", lambda s: F.xxhash64(F.lit(i), s)))) for i in range(MINIMA)]
+    members = hashed.select(F.explode(F.array(*least)).alias("bucket"), "opening", "shingles")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bucket = None, []
+
+        def links() -> pa.RecordBatch:
+            found = list(_bucket_links(bucket, similar)) if len(bucket) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["a", "b"])
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("shingles", lambda s: F.xxhash64(F.lit(seed), s)))
+        for batch in it:
+            for key, opening, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != last:
+                    if len(bucket) > 1:
+                        yield links()
+                    last, bucket = key, []
+                bucket.append((opening, frozenset(shingles)))
+        yield links()
 
-    minima = [least(i) for i in range(BANDS * ROWS)]
-    bands = F.array(*[F.xxhash64(F.lit(b), *minima[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-    own = F.array_sort("shingles")
-    members = openings.select(F.explode(F.array_distinct(bands)).alias("band"), "opening", own.alias("shingles"))
-    holders = members.groupBy("band", F.col("shingles").alias("key")).agg(F.min("opening").alias("b"))
-    less = F.transform("shingles", lambda s: F.array_remove("shingles", s))
-    probes = members.select("band", F.col("opening").alias("a"), F.size("shingles").alias("n"), F.explode(F.concat(F.array("shingles"), less)).alias("key"))
-    return probes.filter(F.size("key") >= SIMILAR * F.col("n")).join(holders, ["band", "key"]).select("a", "b").distinct()
+    near = members.repartition("bucket").sortWithinPartitions("bucket", "opening").mapInArrow(run, "a string, b string")
+    return near.unionByName(openings.select(F.col("opening").alias("a"), F.col("opening").alias("b"))).distinct()
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -165,14 +226,16 @@ def _groups(links: DataFrame) -> DataFrame:
 def refusals(shown: DataFrame) -> DataFrame:
     """row_id of the responses (row_id, opening, prompt) that follow a template of refusal.
 
-    The first words, by each number of OPENINGS (at most nine), make the clusters. A shingle of WINDOW words that recurs within a template
-    is one of its phrases; responses that hold one are refusals, and what recurs in these is a phrase, too.
+    The clusters are of whole openings (WINDOW words) and of their first words, by each number of OPENINGS. A shingle of an opening that recurs
+    within a template is one of its phrases; responses that hold one are refusals, and what recurs in these is a phrase, too.
     """
     heads = F.array_distinct(F.array(*[F.array_join(F.slice("words", 1, n), " ") for n in OPENINGS]))
     prompts = checkpointed(shown.filter("opening is not null").select("opening", "prompt", F.split("opening", " ").alias("words")).select("opening", "prompt", heads.alias("heads"), _shingles(F.col("words")).alias("shingles")).distinct())
-    opened = prompts.select(F.explode("heads").alias("opening")).distinct()
-    groups = _groups(_linked(opened.select("opening", _shingles(F.split("opening", " ")).alias("shingles")))).select(F.col("opening").alias("head"), "group")
-    grouped = prompts.select("prompt", "shingles", F.explode("heads").alias("head")).join(groups, "head")
+    words = F.split("opening", " ")
+    opened = prompts.select(F.explode("heads").alias("opening")).distinct().select("opening", _shingles(words).alias("shingles"))
+    whole = prompts.select("opening").distinct().select("opening", _shingles(words, 2).alias("shingles"))
+    groups = _groups(_linked(opened).unionByName(_linked(whole, ALIKE))).select(F.col("opening").alias("head"), "group")
+    grouped = prompts.select("prompt", "shingles", F.explode(F.array_union("heads", F.array("opening"))).alias("head")).join(groups, "head")
     templates = grouped.select("group", "prompt").distinct().groupBy("group").count().filter(F.col("count") >= RECURS).select("group")
     members = grouped.join(templates, "group", "left_semi").select("group", "prompt", F.explode("shingles").alias("shingle"))
     phrases = members.distinct().groupBy("group", "shingle").count().filter(F.col("count") >= RECURS).select("shingle").distinct()

@@ -259,6 +259,36 @@ def test_openings_are_grouped_as_by_brute_force(spark):
     assert got == {h: root(h) for h in heads}
 
 
+def test_long_openings_are_grouped_as_by_brute_force(spark):
+    rnd = random.Random(4)
+    stems = [[f"{x}{i}" for i in range(20)] for x in "abcdef"]
+    words = [[rnd.choice(["u", "v", w, w, w]) if rnd.random() < 0.5 else w for w in rnd.choice(stems)[rnd.randint(0, 4) : rnd.randint(10, 20)]] for _ in range(150)]
+    cut = {" ".join(w): frozenset(" ".join(p) for p in zip(w, w[1:])) for w in words}
+    links = defects._linked(spark.createDataFrame([(h, list(s)) for h, s in cut.items()], "opening string, shingles array<string>"), defects.ALIKE)
+    near = {(a, b) for a in cut for b in cut if len(cut[a] & cut[b]) >= len(cut[a] | cut[b]) / 3}
+    assert {(r.a, r.b) for r in links.collect()} <= near
+    group = {h: h for h in cut}
+    while moved := [(a, b) for a, b in near if group[b] < group[a]]:
+        for a, b in moved:
+            group[a] = min(group[a], group[b])
+    assert {r.opening: r.group for r in defects._groups(links).collect()} == group
+    assert 6 <= len(set(group.values())) < len(group) / 2
+
+
+def test_openings_of_a_template_may_begin_and_end_differently(spark, world, docs):
+    shared = "no translation can be given for this section as it stands"
+    begun = ["Regrettably", "Dear reader of mine", "As an automated translator", "Thank you for the text"]
+    ended = ["without more context.", "because of my guidelines.", "at this time.", "today."]
+    alike = [{"original_text": sentence(random.Random(i))[0] + f" {i}", "translated_text": f"{b} {shared} {e}"} for i, (b, e) in enumerate(zip(begun, ended))]
+    rnd = random.Random(6)
+    fill = [["".join(rnd.choice("bdklmnrst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(15)] for _ in range(4)]
+    apart = [{"original_text": sentence(random.Random(i))[0] + f" {i}", "translated_text": " ".join([*f[:7], "that night the harbor slept", *f[7:]]) + "."} for i, f in enumerate(fill, 50)]
+    known = docs.unionByName(spark.createDataFrame([("en", r["translated_text"]) for r in alike + apart], docs.schema))
+    got = {r.row_id: r.defect for r in defects.found(paras(spark, world + alike + apart), known).collect()}
+    assert [got.get(k) for k in range(400, 404)] == ["refusal"] * 4
+    assert "refusal" not in {got.get(k) for k in range(404, 408)}
+
+
 def test_languages_without_documents_are_told_from_the_target(spark, docs):
     p = language.learn(docs)
     assert p.languages([language.spoken(bitext.WORD.findall(x)) for x in ("Chiếc đèn lồng khó giải thích hơn dòng sông.", "Nobody believed in the letter.", "Nikt nie wiedział, dlaczego latarnia zgasła.", "孩子们沿着河岸走了很久。", "Anna 12", "")])[:2] == ["vi", "en"]
